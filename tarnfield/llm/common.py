@@ -6,7 +6,9 @@ makes of UTF-8, since no other white space lies in the ASCII range.
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Iterator
 
@@ -37,6 +39,11 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def worker_state() -> dict:
+    """A dict that lives as long as the Python worker, for what tasks load once."""
+    return sys.modules.setdefault("_tarnfield_worker", types.ModuleType("_tarnfield_worker")).__dict__
+
+
 def stored(df: DataFrame, spark: SparkSession) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
