@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnfield.llm import bpe, mixing, quality
+from tarnfield.llm import bpe, html, mixing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_trie_bpe": bpe.op4_trie_bpe,
     "op5_source_mix": mixing.op5_source_mix,
     "op6_line_quality": quality.op6_line_quality,
+    "op7_html_text": html.op7_html_text,
 }
 
 ORACLES: dict[str, str] = {
