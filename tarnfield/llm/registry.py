@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnfield.llm import bpe, html, mixing, quality
+from tarnfield.llm import bpe, html, jaccard, mixing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op4_trie_bpe": bpe.op4_trie_bpe,
     "op5_source_mix": mixing.op5_source_mix,
     "op6_line_quality": quality.op6_line_quality,
