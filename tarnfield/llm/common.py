@@ -157,6 +157,32 @@ def windows(hashes: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray
     return total[keep], bounds
 
 
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Groups of equal keys from sorted batches, one after the other."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        change = np.zeros(batch.num_rows, bool)
+        for k in keys:
+            v = batch.column(k).to_numpy(zero_copy_only=False)
+            change[1:] |= v[1:] != v[:-1]
+        if held and all(held[-1].column(k)[-1] == batch.column(k)[0] for k in keys):
+            change[0] = False
+        else:
+            change[0] = True
+        cuts = np.flatnonzero(change).tolist()
+        first = cuts[0] if cuts else batch.num_rows
+        if first:
+            held.append(batch.slice(0, first))
+        for start, stop in zip(cuts, [*cuts[1:], batch.num_rows]):
+            if held:
+                yield pa.Table.from_batches(held)
+            held = [batch.slice(start, stop - start)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def components(edges: DataFrame, spark: SparkSession) -> DataFrame:
     """Connected components: ``(id, component)`` for each id in ``edges(a, b)``.
 

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnfield.llm import bpe, html, jaccard, mixing, quality
+from tarnfield.llm import bpe, hnsw, html, jaccard, mixing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hnsw_dedup": hnsw.op1_hnsw_dedup,
     "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op4_trie_bpe": bpe.op4_trie_bpe,
     "op5_source_mix": mixing.op5_source_mix,
@@ -17,5 +18,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_hnsw_dedup": hnsw.SQL,
     "op5_source_mix": mixing.SQL,
 }
