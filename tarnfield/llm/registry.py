@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnfield.llm import bpe, hnsw, html, jaccard, mixing, quality
+from tarnfield.llm import bpe, hnsw, html, jaccard, mixing, quality, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hnsw_dedup": hnsw.op1_hnsw_dedup,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_source_mix": mixing.op5_source_mix,
     "op6_line_quality": quality.op6_line_quality,
     "op7_html_text": html.op7_html_text,
+    "op8_token_file": tokenfile.op8_token_file,
 }
 
 ORACLES: dict[str, str] = {
