@@ -39,7 +39,8 @@ from pyspark.sql import functions as F
 from tarnfield.llm.common import components, groups, mix, stored
 from tarnfield.sources import read_table
 
-SHARD_ROWS = 16_384
+#: Bytes of the vectors in a shard, as doubles.
+SHARD_BYTES = 16 << 20
 BLOCK_ROWS = 2_048
 LANE_BLOCKS = 32
 NEIGHBOURS, BUILD_BEAM, BEAM = 16, 48, 48
@@ -392,7 +393,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([None] * len(names) + b.tolist(), pa.int64())], ["vec_id", "links", "b"])
 
 
-def linked(embeddings: DataFrame, spark: SparkSession, least: float = 0.9, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def linked(embeddings: DataFrame, spark: SparkSession, least: float = 0.9, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every vector of ``embeddings(vec_id, embedding)``."""
     value = F.col("embedding").cast("array<double>")
     usable = F.forall(value, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))) & F.exists(value, lambda x: x != 0)
@@ -400,8 +401,8 @@ def linked(embeddings: DataFrame, spark: SparkSession, least: float = 0.9, shard
     vectors = rows.where("vec_id is not null").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     vectors = stored(vectors.withColumn("dim", F.size("embedding")), spark)
     full = vectors.where("embedding is not null")
-    many = full.count()
-    shards, blocks = max(1, -(-many // shard_rows)), max(1, -(-many // BLOCK_ROWS))
+    many, size = full.agg(F.count("*"), F.coalesce(F.sum("dim"), F.lit(0)) * 8).first()
+    shards, blocks = max(1, -(-size // shard_bytes)), max(1, -(-many // BLOCK_ROWS))
     lanes = max(-(-blocks // LANE_BLOCKS), min(blocks, -(-2 * spark.sparkContext.defaultParallelism // shards)))
 
     def parts(n: int, seed: int, build: bool) -> DataFrame:

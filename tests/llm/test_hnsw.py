@@ -38,7 +38,7 @@ def test_matches_all_pairs_over_several_shards(spark):
     x = cloud(1, 1500)
     names = np.random.default_rng(2).permutation(10_000)[:1500]
     df = spark.createDataFrame([(int(n), v.tolist(), "clash") for n, v in zip(names, x)], "vec_id bigint, embedding array<double>, component_id string")
-    got = {r.vec_id: (r.n_links, r.component_id) for r in hnsw.linked(df, spark, shard_rows=400).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id) for r in hnsw.linked(df, spark, shard_bytes=400 * 24 * 8).collect()}
     want = brute(names, hnsw._unit(x.tolist()))
     assert got.keys() == want.keys()
     assert sum(got[k] == want[k] for k in want) >= 0.99 * len(want)
