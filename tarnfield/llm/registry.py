@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnfield.llm import bpe, hnsw, html, jaccard, mixing, quality, tokenfile
+from tarnfield.llm import bpe, hnsw, html, jaccard, langid, mixing, quality, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hnsw_dedup": hnsw.op1_hnsw_dedup,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_quality": quality.op6_line_quality,
     "op7_html_text": html.op7_html_text,
     "op8_token_file": tokenfile.op8_token_file,
+    "op9_language_id": langid.op9_language_id,
 }
 
 ORACLES: dict[str, str] = {
