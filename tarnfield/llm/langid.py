@@ -113,7 +113,7 @@ class Words:
         text = np.repeat(np.arange(len(texts)), np.diff(self.bounds))
         self.start, self.end = start - first[text], end - first[text]
         name = span_hashes(small.view(np.uint8), 4 * start, 4 * end)
-        _, one, self.word = np.unique(name, return_index=True, return_inverse=True)
+        self.name, one, self.word = np.unique(name, return_index=True, return_inverse=True)
         self.script = script[small[start[one]]] if len(one) else np.zeros(0, np.uint8)
         # the distinct words in a row, each between two marks
         size = end[one] - start[one]
@@ -124,6 +124,11 @@ class Words:
         self.letters[ragged(self.first + 1, size)] = small[ragged(start[one], size)]
         self.left = np.repeat(self.first + size + 2, size + 2) - np.arange(len(self.letters))
 
+    def text(self, k: int) -> str:
+        """The distinct word ``k``."""
+        end = self.first[k + 1] if k + 1 < len(self.first) else len(self.letters)
+        return self.letters[self.first[k] + 1 : end - 1].tobytes().decode("utf-32-le")
+
     def groups(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each size of letter group, its buckets and where they begin in ``letters``."""
         value = np.zeros(len(self.letters), np.uint32)

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnfield.llm import bpe, hnsw, html, jaccard, langid, mixing, quality, tokenfile
+from tarnfield.llm import bpe, hnsw, html, jaccard, langid, mixing, quality, secretscan, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hnsw_dedup": hnsw.op1_hnsw_dedup,
+    "op2_secret_scan": secretscan.op2_secret_scan,
     "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op4_trie_bpe": bpe.op4_trie_bpe,
     "op5_source_mix": mixing.op5_source_mix,
