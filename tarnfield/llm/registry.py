@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnfield.llm import bpe, hnsw, html, jaccard, langid, mixing, quality, secretscan, tokenfile
+from tarnfield.llm import bpe, hnsw, html, jaccard, langid, mixing, pii, quality, secretscan, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hnsw_dedup": hnsw.op1_hnsw_dedup,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_html_text": html.op7_html_text,
     "op8_token_file": tokenfile.op8_token_file,
     "op9_language_id": langid.op9_language_id,
+    "op10_pii_terms": pii.op10_pii_terms,
 }
 
 ORACLES: dict[str, str] = {
