@@ -31,6 +31,7 @@ def sized(documents: DataFrame) -> DataFrame:
         F.col("source").isNull().alias("last"),
         F.coalesce("source", F.lit("")).alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint").alias("size"),
+        F.xxhash64("doc_id", "text", "source").alias("row_key"),
         F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("place"),
     )
 
@@ -96,6 +97,17 @@ def mixed(documents: DataFrame, spark: SparkSession, **options) -> DataFrame:
     return joined.withColumn("copies", whole + F.when(extra, 1).otherwise(0))
 
 
+def repeated(documents: DataFrame, spark: SparkSession, **options) -> DataFrame:
+    """The mix itself: rows of ``documents``, each as often as it is taken.
+
+    Rows equal in id, text and source are taken together.
+    """
+    taken = mixed(documents, spark, **options).groupBy("row_key").agg(F.sum("copies").alias("_copies")).where("_copies > 0")
+    keyed = documents.withColumn("_key", F.xxhash64("doc_id", "text", "source")).join(taken.withColumnRenamed("row_key", "_key"), "_key")
+    once = keyed.dropDuplicates(["_key"])
+    return once.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))).select(*documents.columns)
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of every row of ``documents``, with size and target of its source."""
     return mixed(read_table(spark, sf_dir, "documents"), spark).select(
