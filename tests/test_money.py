@@ -1,11 +1,12 @@
 from decimal import Decimal
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from support import rows
-from tarnfield.functions import exact_sum, hundredths
+from tarnfield.functions import exact_sum, hundredths, product
 
 BIG = 2**63 - 1
 
@@ -41,3 +42,36 @@ def test_exact_sum_matches_python(spark, data):
     df = spark.createDataFrame(data, "k string, v bigint").repartition(5)
     got = {k: int(v) for k, v in df.groupBy("k").agg(exact_sum(F.col("v"))).collect()}
     assert got == want
+
+
+@pytest.fixture(params=["true", "false"])
+def ansi(spark, request):
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", request.param)
+    yield
+    spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+@pytest.mark.parametrize("value", [0.125, 5.001, float("nan"), float("inf"), float("-inf"), 1e15, -1e300])
+def test_hundredths_refuses_what_is_not_whole(spark, ansi, value):
+    df = spark.createDataFrame([(value,)], "v double")
+    with pytest.raises(Exception, match="no amount in whole hundredths"):
+        df.select(hundredths(F.col("v"))).collect()
+
+
+def test_hundredths_keeps_cents_with_ansi_on_and_off(spark, ansi):
+    df = spark.createDataFrame([(None,), (1.23,), (-0.07,), (9e13,)], "v double")
+    assert [r[0] for r in df.select(hundredths(F.col("v"))).collect()] == [None, 123, -7, 9 * 10**15]
+
+
+def test_product_raises_beyond_bigint(spark, ansi):
+    df = spark.createDataFrame([(3, None, 0), (3, -4, -12)], "a bigint, b bigint, c bigint")
+    assert [r[0] for r in df.select(product(F.col("a"), F.col("b"))).collect()] == [None, -12]
+    with pytest.raises(Exception, match="product beyond bigint"):
+        spark.createDataFrame([(BIG, 2)], "a bigint, b bigint").select(product(F.col("a"), F.col("b"))).collect()
+
+
+@pytest.mark.parametrize("value", [BIG, -BIG - 1])
+def test_exact_sum_of_a_million_extremes(spark, ansi, value):
+    df = spark.range(1_200_000).select(F.lit(value).cast("bigint").alias("v"))
+    assert df.agg(exact_sum(F.col("v"))).first()[0] == Decimal(1_200_000 * value)
