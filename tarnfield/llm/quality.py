@@ -166,3 +166,34 @@ def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read_table(spark, sf_dir, "documents"), spark).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words"
     )
+
+
+#: The same over tables whose ids are unique.
+SQL = """
+with d as (
+  select doc_id, coalesce(source, '') as host, coalesce(text, '') as t,
+         regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+runs as (
+  select doc_id, i, count(*) over (partition by doc_id, array_to_string(ws[i:i + 7], ' ')) as n
+  from (select doc_id, ws, unnest(range(1, len(ws) - 6)) as i from d)),
+repeats as (select doc_id, count(distinct i + k) as n from runs, range(8) r(k) where n > 1 group by doc_id),
+lines as (
+  select doc_id, host, t, l, len(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+')) as n,
+         regexp_replace(trim(regexp_replace(lower(l), '\\s+', ' ', 'g')), '[0-9]', '0', 'g') as norm
+  from (select doc_id, host, t, unnest(string_split(t, chr(10))) as l from d)
+  where regexp_matches(l, '[^\\x20\\x09-\\x0D]')),
+dups as (select doc_id, sum(c - 1) as n from (select doc_id, l, count(*) as c from lines group by doc_id, l) group by doc_id),
+hosts as (select host, count(distinct t) as n from d group by host),
+above as (
+  select host, norm from (select host, norm, count(distinct t) as c from lines group by host, norm) join hosts using (host)
+  where c >= 20 and c > 0.1 * n),
+removed as (select doc_id, sum(n) as n from lines join above using (host, norm) group by doc_id),
+m as (
+  select d.doc_id, len(ws)::bigint as n_words, len(array_to_string(ws, ''))::bigint as word_chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]'))::bigint as n_symbols, coalesce(dups.n, 0)::bigint as n_dup_lines,
+         coalesce(repeats.n, 0)::bigint as n_repeat_words, coalesce(removed.n, 0)::bigint as removed_words
+  from d left join dups using (doc_id) left join repeats using (doc_id) left join removed using (doc_id))
+select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
+       not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and n_words - removed_words >= 0.3 * n_words as kept
+from m
+"""

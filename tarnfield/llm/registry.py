@@ -23,5 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_hnsw_dedup": hnsw.SQL,
+    "op3_jaccard_join": jaccard.SQL,
     "op5_source_mix": mixing.SQL,
+    "op6_line_quality": quality.SQL,
 }
