@@ -4,7 +4,7 @@ Each block starts from nothing and is coded for itself, so blocks can be read in
 any order and a damaged one harms no other. The probability of an id is mixed from
 three predictions: order 2 and order 1 each expect the id that lately followed the
 last two ids or the last one, order 0 counts ids, as four hexadecimal digits each
-counted after the digits before it. The weights of the mixture are counted anew in
+counted after the digits before it (the last after a hash of them). The weights of the mixture are counted anew in
 every block for each pair of confidences of orders 2 and 1: the coder first codes
 the highest order that expects the id, and if none does, the id by order 0.
 
@@ -34,7 +34,10 @@ STARTS, ENDS, NO_ID = 1, 2, 4
 
 BLOCK_IDS = 4096
 LANES = 1024
-SLOTS = 4096
+SLOTS = 2048
+#: Rows of counts of the last digit, shared by hash: a lane's tables stay in the cache.
+LAST_ROWS = 256
+ROWS = 1 + 16 + 256 + LAST_ROWS
 NONE = 65_535
 #: Steps of the counts; a block is too short to make a sum of counts pass 16 bits.
 DIGIT_STEP, WEIGHT_STEP, SURE = 12, 12, 3
@@ -42,50 +45,60 @@ DIGIT_STEP, WEIGHT_STEP, SURE = 12, 12, 3
 _UP_TO = np.triu(np.ones((16, 16), np.float32))  # column d: sum of counts up to digit d
 _UP_TO3 = np.triu(np.ones((3, 3), np.float32))
 _WORD, _REST, _FULL = np.uint64(16), np.uint64(48), np.uint64(1 << 48)
-_NODES = np.array([0, 1, 17, 273])
 
 
 class Model:
     """Predictions for many blocks, one lane each; encoder and decoder keep it alike."""
 
     def __init__(self, lanes: int):
-        self.digits = np.ones((lanes * 4369, 16), np.float32)
+        self.digits = np.ones((lanes * ROWS, 16), np.float32)
+        self.flat = self.digits.reshape(-1)
         self.weights = np.ones((lanes * 16, 3), np.float32)
-        self.expect = np.full((2, lanes * SLOTS), NONE, np.int32)
-        self.sure = np.zeros((2, lanes * SLOTS), np.int8)
-        self.lane = np.arange(lanes)
-        self.last = np.zeros((2, lanes), np.int64)  # the last id, the one before
+        self.flat_weights = self.weights.reshape(-1)
+        # order 2, then order 1: the id that is expected, and in two bits how surely
+        self.expect = np.full(2 * lanes * SLOTS, NONE << 2, np.int32)
+        self.order1 = lanes * SLOTS
+        self.last = np.zeros(lanes, np.int64)
+        self.before = np.zeros(lanes, np.int64)
+        self.keep(lanes)
 
     def keep(self, lanes: int) -> None:
         """Go on with the first lanes only."""
-        self.lane, self.last = self.lane[:lanes], self.last[:, :lanes]
-
-    def slots(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Slots of orders 2 and 1, and the row of weights."""
-        one, two = self.last
-        base = self.lane * SLOTS
-        first = base + ((one * 40_503 >> 3) & (SLOTS - 1))
-        second = base + (((one * 52_711) ^ (two * 24_593 + 7_919)) % 65_521 & (SLOTS - 1))
-        row = self.lane * 16 + self.sure[1].take(second) * 4 + self.sure[0].take(first)
-        return second, first, row
-
-    def learn(self, ids: np.ndarray, second: np.ndarray, first: np.ndarray, row: np.ndarray, order: np.ndarray) -> None:
-        self.weights.reshape(-1)[row * 3 + order] += WEIGHT_STEP
-        for table, slot in ((1, second), (0, first)):
-            expect, sure = self.expect[table], self.sure[table]
-            now = sure.take(slot) + np.where(expect.take(slot) == ids, np.int8(1), np.int8(-1))
-            lost = np.flatnonzero(now < 0)
-            expect[slot[lost]] = ids[lost]
-            sure[slot] = np.minimum(np.maximum(now, 0), SURE)
-        self.last[1], self.last[0] = self.last[0].copy(), ids
+        self.lane = np.arange(lanes)
+        self.base, self.base1 = self.lane * SLOTS, self.lane * SLOTS + self.order1
+        self.row16, self.node = self.lane * 16, self.lane * ROWS
+        self.last, self.before = self.last[:lanes], self.before[:lanes]
+
+    def look(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Slots of both orders with what they hold, and the row of weights."""
+        slots = np.concatenate([self.base + ((self.last * 52_711 + self.before * 24_593 >> 5) & SLOTS - 1), self.base1 + (self.last * 40_503 >> 3 & SLOTS - 1)])
+        held = self.expect.take(slots)
+        sure = held & 3
+        n = len(self.lane)
+        return slots, held, self.row16 + (sure[:n] << 2) + sure[n:]
+
+    def learn(self, ids: np.ndarray, hits: np.ndarray, slots: np.ndarray, held: np.ndarray, row: np.ndarray, order: np.ndarray) -> None:
+        self.flat_weights[row * 3 + order] += WEIGHT_STEP
+        sure = held & 3
+        fresh = np.concatenate([ids, ids]).astype(np.int32) << 2
+        self.expect[slots] = np.where(hits, held + (sure < SURE), np.where(sure > 0, held - 1, fresh))
+        self.before, self.last = self.last, ids
+
+    def nodes(self, rest: np.ndarray, high: list[np.ndarray]) -> np.ndarray:
+        """Rows of counts of the next digit, after the digits in front of it."""
+        base = self.node[rest]
+        if len(high) < 3:
+            return base + (0, 1, 17)[len(high)] + (high[-1] if high else 0)
+        return base + 273 + (high[-1] * 40_503 >> 4 & LAST_ROWS - 1)
 
 
 class Writer:
     """Narrows the interval of every lane and writes its settled words.
 
-    An interval is its start, of 64 bits, and its width, never under 2^48 between
-    steps. A step divides the width by at most 2^16, so at most one word of 16 bits
-    leaves. What a start gains beyond 64 bits is carried into the words, at the end.
+    An interval is its start, of 64 bits, and its width, at least 2^48 when settled.
+    A step divides the width by at most 2^16; after two it is settled again, by words
+    of 16 bits that leave. What a start gains beyond 64 bits is carried into the
+    words, at the end.
     """
 
     def __init__(self, lanes: int, ids: int):
@@ -95,20 +108,27 @@ class Writer:
         self.flat = self.words.reshape(-1)
         self.at = np.arange(lanes) * self.words.shape[1] + 1
 
-    def put(self, lanes: np.ndarray, before: np.ndarray, count: np.ndarray, total: np.ndarray) -> None:
-        part = self.width.take(lanes) // total
-        start = self.low.take(lanes)
-        low, width = start + part * before, part * count
-        carry = lanes[low < start]
-        if len(carry):
-            self.flat[self.at[carry] - 1] += np.uint32(1)
+    def put(self, lanes: np.ndarray, *steps: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+        """One or two steps, each the counts before the symbol, its own and all."""
+        low, width = self.low.take(lanes), self.width.take(lanes)
+        for before, count, total in steps:
+            part = width // total
+            start = low
+            low = start + part * before
+            width = part * count
+            carry = np.flatnonzero(low < start)
+            if len(carry):
+                self.flat[self.at[lanes[carry]] - 1] += np.uint32(1)
         full = np.flatnonzero(width < _FULL)
-        if len(full):
+        while len(full):
             out = lanes[full]
-            self.flat[self.at[out]] = low[full] >> _REST
-            self.at[out] += 1
+            at = self.at[out]
+            self.flat[at] = low[full] >> _REST
+            self.at[out] = at + 1
             low[full] <<= _WORD
-            width[full] <<= _WORD
+            wide = width[full] << _WORD
+            width[full] = wide
+            full = full[wide < _FULL]
         self.low[lanes], self.width[lanes] = low, width
 
     def close(self) -> list[bytes]:
@@ -128,39 +148,46 @@ class Reader:
 
     def __init__(self, payloads: list[bytes]):
         words = [np.frombuffer(p, "<u2") for p in payloads]
-        self.words = np.zeros((len(words), max(map(len, words)) + 2), np.uint64)
+        self.words = np.zeros((len(words), max(map(len, words)) + 6), np.uint16)
         for k, w in enumerate(words):
             self.words[k, : len(w)] = w
         self.flat = self.words.reshape(-1)
         self.above = np.zeros(len(words), np.uint64)
         for k in range(4):
-            self.above = self.above << _WORD | self.words[:, k]
+            self.above = self.above << _WORD | self.words[:, k].astype(np.uint64)
         self.at = np.arange(len(words)) * self.words.shape[1] + 4
         self.end = self.at + self.words.shape[1] - 5
         self.width = np.full(len(words), np.iinfo(np.uint64).max, np.uint64)
 
-    def get(self, lanes: np.ndarray, counts: np.ndarray, up_to: np.ndarray) -> np.ndarray:
-        """The symbol of each lane under its row of counts."""
-        sums = counts @ up_to
-        part = self.width.take(lanes) // sums[:, -1].astype(np.uint64)
-        above = self.above.take(lanes)
-        target = (above // part).astype(np.float32)
-        size = counts.shape[1]
-        found = np.minimum((sums <= target[:, None]).sum(1), size - 1)
-        spot = np.arange(0, len(lanes) * size, size) + found
+    def open(self, lanes: np.ndarray) -> None:
+        self.lanes, self.far, self.wide = lanes, self.above.take(lanes), self.width.take(lanes)
+
+    def get(self, counts: np.ndarray, up_to: np.ndarray) -> np.ndarray:
+        """The symbol of each open lane under its row of counts."""
+        sums, size = counts @ up_to, counts.shape[1]
+        part = self.wide // sums[:, -1].astype(np.uint64)
+        target = (self.far // part).astype(np.float32)
+        # a broken block may point beyond the last symbol
+        found = np.minimum(np.count_nonzero(sums <= target[:, None], axis=1), size - 1)
+        spot = np.arange(0, counts.size, size) + found
         count = counts.reshape(-1).take(spot)
-        above -= part * (sums.reshape(-1).take(spot) - count).astype(np.uint64)
-        width = part * count.astype(np.uint64)
-        low = np.flatnonzero(width < _FULL)
-        if len(low):
-            out = lanes[low]
-            at = np.minimum(self.at[out], self.end[out])
-            above[low] = above[low] << _WORD | self.flat[at]
-            width[low] <<= _WORD
-            self.at[out] += 1
-        self.above[lanes], self.width[lanes] = above, width
+        self.far = self.far - part * (sums.reshape(-1).take(spot) - count).astype(np.uint64)
+        self.wide = part * count.astype(np.uint64)
         return found
 
+    def settle(self) -> None:
+        far, wide = self.far, self.wide
+        low = np.flatnonzero(wide < _FULL)
+        while len(low):
+            out = self.lanes[low]
+            at = self.at[out]
+            far[low] = far[low] << _WORD | self.flat[np.minimum(at, self.end[out])].astype(np.uint64)
+            self.at[out] = at + 1
+            more = wide[low] << _WORD
+            wide[low] = more
+            low = low[more < _FULL]
+        self.above[self.lanes], self.width[self.lanes] = far, wide
+
 
 def _shares(counts: np.ndarray, symbols: np.ndarray, up_to: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sum of the counts before each row's symbol, its own count, and the sum of all."""
@@ -176,50 +203,62 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     ids = np.zeros((lengths[0], len(blocks)), np.int64)
     for k, b in enumerate(blocks):
         ids[: len(b), k] = b
-    model, out = Model(len(blocks)), Writer(len(blocks), int(lengths[0]))
-    for step in range(lengths[0]):
-        lanes = int(np.searchsorted(-lengths, -step, "left"))
-        model.keep(lanes)
-        now = ids[step, :lanes]
-        second, first, row = model.slots()
-        order = np.where(model.expect[1].take(second) == now, 0, np.where(model.expect[0].take(first) == now, 1, 2))
-        weights = model.weights.take(row, 0)
-        out.put(model.lane, *_shares(weights, order, _UP_TO3))
+    model, out, lanes = Model(len(blocks)), Writer(len(blocks), int(lengths[0])), len(blocks)
+    live = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")
+    for step, n in enumerate(live.tolist()):
+        if n < lanes:
+            model.keep(lanes := n)
+        now = ids[step, :n]
+        slots, held, row = model.look()
+        hits = held >> 2 == np.concatenate([now, now])
+        order = np.where(hits[:n], 0, np.where(hits[n:], 1, 2))
+        out.put(model.lane, _shares(model.weights.take(row, 0), order, _UP_TO3))
         rest = np.flatnonzero(order == 2)
         if len(rest):
             own = now[rest]
-            digit = np.stack([own >> 12, own >> 8 & 15, own >> 4 & 15, own & 15])
-            node = rest * 4369 + _NODES[:, None] + np.stack([0 * own, own >> 12, own >> 8, own >> 4])
-            before, count, total = _shares(model.digits.take(node.reshape(-1), 0), digit.reshape(-1), _UP_TO)
-            n = len(rest)
-            for k in range(0, 4 * n, n):
-                out.put(rest, before[k : k + n], count[k : k + n], total[k : k + n])
-            model.digits.reshape(-1)[node * 16 + digit] += DIGIT_STEP
-        model.learn(now, second, first, row, order)
+            digits = [own >> 12, own >> 8 & 15, own >> 4 & 15, own & 15]
+            highs = [own >> 12, own >> 8, own >> 4]
+            node = np.concatenate([model.nodes(rest, highs[:k]) for k in range(4)])
+            digit = np.concatenate(digits)
+            shares = _shares(model.digits.take(node, 0), digit, _UP_TO)
+            m = len(rest)
+            step_of = lambda k: tuple(x[k * m : k * m + m] for x in shares)
+            out.put(rest, step_of(0), step_of(1))
+            out.put(rest, step_of(2), step_of(3))
+            model.flat[node * 16 + digit] += DIGIT_STEP
+        model.learn(now, hits, slots, held, row, order)
     return out.close()
 
 
 def _decode(payloads: list[bytes], lengths: np.ndarray) -> list[np.ndarray]:
     """Ids of payloads, by falling number of ids."""
     ids = np.zeros((int(lengths[0]), len(payloads)), np.int64)
-    model, source = Model(len(payloads)), Reader(payloads)
-    for step in range(int(lengths[0])):
-        lanes = int(np.searchsorted(-lengths, -step, "left"))
-        model.keep(lanes)
-        second, first, row = model.slots()
-        order = source.get(model.lane, model.weights.take(row, 0), _UP_TO3)
-        now = np.where(order == 0, model.expect[1].take(second), model.expect[0].take(first)).astype(np.int64)
+    model, source, lanes = Model(len(payloads)), Reader(payloads), len(payloads)
+    live = np.searchsorted(-lengths, -np.arange(int(lengths[0])), "left")
+    for step, n in enumerate(live.tolist()):
+        if n < lanes:
+            model.keep(lanes := n)
+        slots, held, row = model.look()
+        source.open(model.lane)
+        order = source.get(model.weights.take(row, 0), _UP_TO3)
+        source.settle()
+        expected = (held >> 2).astype(np.int64)
+        now = np.where(order == 0, expected[:n], expected[n:])
         rest = np.flatnonzero(order == 2)
         if len(rest):
-            base, value = rest * 4369, np.zeros(len(rest), np.int64)
+            highs: list[np.ndarray] = []
             for k in range(4):
-                node = base + _NODES[k] + value
-                digit = source.get(rest, model.digits.take(node, 0), _UP_TO)
-                model.digits.reshape(-1)[node * 16 + digit] += DIGIT_STEP
-                value = value << 4 | digit
-            now[rest] = value
-        ids[step, :lanes] = now
-        model.learn(now, second, first, row, order)
+                if k % 2 == 0:
+                    source.open(rest)
+                node = model.nodes(rest, highs)
+                digit = source.get(model.digits.take(node, 0), _UP_TO)
+                model.flat[node * 16 + digit] += DIGIT_STEP
+                highs.append(highs[-1] << 4 | digit if highs else digit)
+                if k % 2:
+                    source.settle()
+            now[rest] = highs[-1]
+        ids[step, :n] = now
+        model.learn(now, expected == np.concatenate([now, now]), slots, held, row, order)
     return [ids[:n, k] for k, n in enumerate(lengths)]
 
 

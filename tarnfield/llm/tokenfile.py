@@ -39,7 +39,7 @@ from tarnfield.llm.bpe import ragged
 from tarnfield.llm.common import shared_dir, slices, stored, worker_state
 from tarnfield.sources import read_table
 
-KEPT_UNITS = 400_000
+KEPT_UNITS = 250_000
 END_ID = 2
 
 BLOCKS = "part int, block bigint, first_doc bigint, n_ids bigint, data binary"
