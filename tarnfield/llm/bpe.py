@@ -25,7 +25,7 @@ import hashlib
 import json
 from array import array
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tarnfield.llm.common import slices, worker_state
 from tarnfield.sources import read_table
 
-KEPT_UNITS = 500_000
+KEPT_UNITS = 800_000
 KEPT_PAIRS = 1_000_000
 
 #: Fixed value: the pattern that splits a text into words.
@@ -77,7 +77,7 @@ class TrieBPE:
         self.blank = regex.compile(r"\s")
         self.pairs: dict[tuple[int, int], bool] = {}
         self.index: dict[str | tuple[str], int] = {}
-        self.flat, self.lengths = array("I"), array("I")
+        self.flat, self.lengths, self.starts = array("I"), array("I"), array("Q")
         known = self.tokens | {i: content.encode() for content, i in self.special.items()}
         size = max(known) + 1
         self.token_length = np.array([len(known.get(i, b"")) for i in range(size)])
@@ -86,6 +86,7 @@ class TrieBPE:
 
     def _keep(self, unit: str | tuple[str], ids: list[int]) -> None:
         self.index[unit] = len(self.lengths)
+        self.starts.append(len(self.flat))
         self.flat.extend(ids)
         self.lengths.append(len(ids))
 
@@ -121,7 +122,9 @@ class TrieBPE:
                 depth += 1
             del last[depth + 1 :], size[depth + 1 :]
             for end in range(depth + 1, len(word) + 1):
-                for start in range(max(0, end - longest), end):
+                # one token alone fits, so the likeliest are tried first: the last one made longer, a single byte
+                guess = end - 1 - size[end - 1]
+                for start in chain((guess, end - 1), range(max(0, end - longest), end - 1)):
                     token = ids.get(word[start:end])
                     if token is not None:
                         left = last[start]
@@ -150,28 +153,34 @@ class TrieBPE:
 
     def _learn(self, units: list) -> None:
         """Encode units and keep them. Words never reach over the start of white space."""
-        fresh, needed = [], {}
+        blank, words, index = self.blank.match, self._words, self.index
+        fresh, ids = [], {w: [i] for w, i in self.special.items()}
+        unknown: dict[str, None] = {}
         for unit in units:
-            if unit in self.index:
-                continue
             if type(unit) is tuple:
-                parts = self._words(unit[0])
+                parts = words(unit[0])
             elif unit.isalpha():
                 parts = [" " + unit]
-            elif not unit or self.blank.match(unit[-1]):
-                parts = None  # white space runs on behind it
+                unknown[parts[0]] = None
+            elif not unit or blank(unit[-1]):
+                index[unit] = -1  # white space runs on behind it
+                continue
             else:
-                parts = self._words(unit if unit[0] == "\n" else " " + unit)
+                parts = words(unit if unit[0] == "\n" else " " + unit)
             fresh.append((unit, parts))
-            needed.update((w.encode(), None) for w in parts or () if w not in self.special)
-        order = sorted(needed)
-        for word, ids in zip(order, self.walk(order)):
-            needed[word] = ids
+        for _, parts in fresh:
+            for word in parts:
+                if word not in ids and word not in unknown:
+                    code = index.get(word[1:], -1) if word[0] == " " and word[1:].isalpha() else -1  # a unit of one word
+                    if code >= 0:
+                        start = self.starts[code]
+                        ids[word] = self.flat[start : start + self.lengths[code]].tolist()
+                    else:
+                        unknown[word] = None
+        order = sorted((w.encode(), w) for w in unknown)
+        ids.update(zip([w for _, w in order], self.walk([b for b, _ in order])))
         for unit, parts in fresh:
-            if parts is None:
-                self.index[unit] = -1
-            else:
-                self._keep(unit, [i for w in parts for i in ([self.special[w]] if w in self.special else needed[w.encode()])])
+            self._keep(unit, ids[parts[0]] if len(parts) == 1 else [i for w in parts for i in ids[w]])
 
     def _units(self, text: str) -> list:
         """Parts that are encoded apart: what stands between spaces, with the space before it.
@@ -192,7 +201,7 @@ class TrieBPE:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the bounds of each text's ids."""
-        kept = len(self.index), len(self.flat)
+        kept = len(self.index), len(self.flat), len(self.lengths)
         units, counts = [], [0]
         for text in texts:
             if text:
@@ -208,18 +217,17 @@ class TrieBPE:
                 parts.append(self._codes([(w,) for w in self._words(text)]) if k in again else codes[bounds[k] : bounds[k + 1]])
                 counts.append(counts[-1] + len(parts[-1]))
             codes = np.concatenate(parts)
-        lengths = np.array(self.lengths, np.int64)
-        own = lengths[codes]
-        ids = np.array(self.flat, np.uint32)[ragged((np.cumsum(lengths) - lengths)[codes], own)]
+        own = np.array(self.lengths, np.int64)[codes]
+        ids = np.array(self.flat, np.uint32)[ragged(np.array(self.starts, np.int64)[codes], own)]
         if len(self.index) > KEPT_UNITS:
             self._drop(*kept)
         return ids, np.concatenate([[0], np.cumsum(own)])[counts]
 
-    def _drop(self, units: int, ids: int) -> None:
+    def _drop(self, units: int, ids: int, lengths: int) -> None:
         """Forget the units learned after the first so many."""
         while len(self.index) > units:
             self.index.popitem()
-        del self.flat[ids:], self.lengths[sum(1 for code in self.index.values() if code >= 0) :]
+        del self.flat[ids:], self.lengths[lengths:], self.starts[lengths:]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of the ids in UTF-8; bytes that are no UTF-8 become the replacement sign."""
