@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,7 +74,7 @@ def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Itera
     if not n:
         return
     text = batch.column(column)
-    ends = np.cumsum(np.frombuffer(pa.compute.binary_length(text.fill_null("")).cast(pa.int64()).buffers()[1], np.int64, n))
+    ends = np.cumsum(np.frombuffer(pc.binary_length(text.fill_null("")).cast(pa.int64()).buffers()[1], np.int64, n))
     start = 0
     while start < n:
         before = int(ends[start - 1]) if start else 0
