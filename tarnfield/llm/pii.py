@@ -20,7 +20,9 @@ row; an empty table gives an empty result; other columns are ignored, and kept b
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -96,7 +98,7 @@ def _plain(word: str) -> str:
 
 def terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, str, int, int]]:
     """(entity, word, start, end) of the words near each span, outside all spans."""
-    taken = [(a, b) for a, _, b in spans]
+    starts, ends = [a for a, _, _ in spans], list(accumulate((b for _, _, b in spans), max))
     out = []
     for a, kind, b in spans:
         value = text[a:b].lower() if kind == 0 else re.sub(r"[^0-9.]" if kind == 1 else r"[^0-9]", "", text[a:b])
@@ -109,7 +111,8 @@ def terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, str,
         if after and after[-1][1] == b + REACH:
             after = after[:-1]
         for x, y in before[-NEAR:] + after[:NEAR]:
-            if not any(x < d and c < y for c, d in taken):
+            opened = bisect_left(starts, y)
+            if not opened or ends[opened - 1] <= x:
                 out.append((entity, _plain(text[x:y]), x, y))
     return out
 

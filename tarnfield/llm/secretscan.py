@@ -21,7 +21,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -169,8 +171,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = base_spans(text) if text else []
                 base.append([dict(zip(("start", "kind", "end"), x)) for x in own])
                 named = [(a, b) for a, k, b in own if k == 0]
+                starts, ends = [a for a, _ in named], [0, *accumulate((b for _, b in named), max)]
                 found = values(text) if text else []
-                vals.append([{"start": a, "end": b, "value": v} for a, b, v in found if not any(x <= a and b <= y for x, y in named)])
+                vals.append([{"start": a, "end": b, "value": v} for a, b, v in found if ends[bisect_right(starts, a)] < b])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, _BASE), pa.array(vals, _VALS)], ["doc_id", "row_key", "base", "vals"])
 
 
