@@ -32,11 +32,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnfield.llm.common import slices, worker_state
+from tarnfield.llm.common import bound_batches, slices, worker_state
 from tarnfield.sources import read_table
 
-KEPT_UNITS = 800_000
-KEPT_PAIRS = 1_000_000
+KEPT_UNITS = 400_000
+KEPT_PAIRS = 300_000
 
 #: Fixed value: the pattern that splits a text into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -257,6 +257,7 @@ def encoded(documents: DataFrame, path: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.view(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "ids"])
 
+    bound_batches(documents.sparkSession)
     return documents.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(task, "doc_id bigint, ids array<int>")
 
 
@@ -269,6 +270,7 @@ def decoded(encoded: DataFrame, path: str) -> DataFrame:
             texts = [coder.decode(np.array(ids or [], np.int64)).decode() for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
+    bound_batches(encoded.sparkSession)
     return encoded.select("doc_id", "ids").mapInArrow(task, "doc_id bigint, text string")
 
 
@@ -286,6 +288,7 @@ def digests(documents: DataFrame, path: str) -> DataFrame:
             columns = [batch.column("doc_id"), pa.array(np.diff(bounds), pa.int64()), pa.array(sha_ids, pa.string()), pa.array(sha_text, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    bound_batches(documents.sparkSession)
     rows = documents.selectExpr("cast(doc_id as bigint) doc_id", "text")
     return rows.mapInArrow(task, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 

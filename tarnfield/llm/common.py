@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into arrays at once, long texts apart.
 SLICE_BYTES = 2_000_000
+BATCH_BYTES = 4 << 20
 #: Parts into which the rows of a hot join key are dealt.
 SALTS = 16
 
@@ -28,6 +29,15 @@ _ODD = np.uint64(0xD6E8FEB86659FD93)
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Have Spark hand rows to Python in batches of BATCH_BYTES, long rows apart.
+
+    The default of 64 MB, held by the JVM and by Python and taken apart there, is most
+    of what a task may use. This is the one setting that the operators make.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, ``spark.checkpoint.dir``.
 
@@ -51,6 +61,7 @@ def stored(df: DataFrame, spark: SparkSession) -> DataFrame:
     Cuts lineage: a lost executor costs a reread, not a recomputation, and what
     is read twice is computed once. The files may go once the query has ended.
     """
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/tarnfield-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -24,7 +24,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnfield.llm.common import slices
+from tarnfield.llm.common import bound_batches, slices
 from tarnfield.sources import read_table
 
 #: Characters and standard deviations: kernel radius, its width, share of the core.
@@ -225,6 +225,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extracted(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row of ``pages(page_id, url, html)``."""
+    bound_batches(pages.sparkSession)
     rows = pages.selectExpr("cast(page_id as bigint) page_id", "url", "html")
     return rows.mapInArrow(_extract, "page_id bigint, url string, text string, n_chars bigint")
 

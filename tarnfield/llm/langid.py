@@ -30,14 +30,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfield.llm.bpe import ragged
-from tarnfield.llm.common import slices, span_hashes, worker_state
+from tarnfield.llm.common import bound_batches, slices, span_hashes, worker_state
 from tarnfield.sources import read_table
 
 #: Labelled documents a language to learn from, about; all if there are fewer.
 SAMPLE = 3000
 BUCKETS = 1 << 16
 #: Bytes of text labelled together: the longest text sets the number of steps.
-SLICE = 6_000_000
+SLICE = 4_000_000
 SCRIPT_SHARE = 0.02
 #: Log probability that a switch costs, and how much one word may say at most.
 SWITCH, MOST = 6.0, 8.0
@@ -186,6 +186,7 @@ def trained(documents: DataFrame, spark: SparkSession, sample: int = SAMPLE) ->
     The sample takes each language's documents below a hash limit set by their
     number, so the driver receives at most a table of buckets for each language.
     """
+    bound_batches(spark)
     labelled = documents.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "text", F.lit(9)).alias("draw"))
     many = labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()
     share = {r.lang: min(1.0, sample / r.n) for r in many}
@@ -275,6 +276,7 @@ def labelled(documents: DataFrame, model: Model, keep: list[str] | None = None)
                 columns = [batch.column(0), pa.array(langs, pa.string()), pa.array(shares, pa.float64()), pa.array(spans, pa.string()), *batch.columns[2:]]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score", "spans", *keep])
 
+    bound_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *keep)
     kept = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in keep)
     return rows.mapInArrow(task, "doc_id bigint, lang_pred string, score double, spans string" + kept)
