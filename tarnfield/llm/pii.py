@@ -40,6 +40,8 @@ KINDS = ("email", "ip", "card", "phone", "term")
 NEAR, REACH = 10, 400
 SHARE, SUPPORT = 0.8, 2
 FILTER = 1 << 20
+#: Distinct words that a task counts before it gives the counts out.
+HELD = 200_000
 
 # The patterns. A match of an address begins where its run of letters or
 # digits begins, so runs are looked at once.
@@ -145,9 +147,13 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _document_counts(wanted: np.ndarray):
-    """A task that counts the documents that hold each word that may be wanted."""
+    """A task that counts the documents that hold each word that may be wanted.
+
+    Counts are summed over the task, and given out when there are HELD words.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, int] = {}
         for whole in batches:
             for batch in slices(whole, 0):
                 words = Words(batch.column(0).to_pylist())
@@ -156,12 +162,21 @@ def _document_counts(wanted: np.ndarray):
                 some = pick[words.word]
                 once = np.unique(row[some] * np.int64(len(words.first) + 1) + words.word[some])
                 times = np.bincount(once % (len(words.first) + 1), minlength=len(words.first))
-                at = np.flatnonzero(times)
-                yield pa.RecordBatch.from_arrays([pa.array([words.text(k) for k in at], pa.string()), pa.array(times[at], pa.int64())], ["word", "docs"])
+                for k in np.flatnonzero(times).tolist():
+                    word = words.text(k)
+                    held[word] = held.get(word, 0) + int(times[k])
+                if len(held) > HELD:
+                    yield _counts(held)
+                    held = {}
+        yield _counts(held)
 
     return task
 
 
+def _counts(held: dict[str, int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["word", "docs"])
+
+
 def revealing(found: DataFrame, texts: DataFrame, spark: SparkSession, share: float, support: int) -> DataFrame:
     """``(entity, word)`` above the disclosure threshold, by all of ``texts(text)``."""
     each = found.select("text_key", F.explode("near").alias("w")).select("text_key", "w.entity", "w.word")
