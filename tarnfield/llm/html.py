@@ -2,11 +2,13 @@
 
 The events of the standard library's parser are cut into lines, one for each
 block element with text. Lines in elements that hold no article text (menus,
-forms, scripts; by tag, role, class or id) are dropped. Each line left has a ratio
-of characters to tags; the ratios are smoothed by a Gaussian kernel, and lines not
-under one standard deviation are the core. The content region is the smallest
-element that holds nearly all of the core's text; within it a line is kept that
-shares its parent with the core or lies inside the core and is not mainly links.
+forms, scripts; by tag, role, class or id) are dropped. Each line left has a ratio of characters to tags; the
+ratios are smoothed by a Gaussian kernel, and lines whose own and smoothed ratio are
+not under one standard deviation, or under PROSE if that is less, are the core: one
+very long block cannot raise the limit above that of plain prose. The content region
+is the smallest element that holds the whole core, or the article or main around it.
+Where such elements hold most of the core, only what is in them counts as core. In
+the region all lines are kept but those mainly of links that stand apart from it.
 
 Defined results: null, empty or tag-only html gives the empty text; broken markup
 is read as far as the parser makes sense of it, never raised; null page ids and
@@ -27,8 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from tarnfield.llm.common import bound_batches, slices
 from tarnfield.sources import read_table
 
-#: Characters and standard deviations: kernel radius, its width, share of the core.
-RADIUS, WIDTH, CORE_SHARE = 2, 1.0, 0.9
+#: Lines and standard deviations: kernel radius and its width.
+RADIUS, WIDTH = 2, 1.0
+#: Characters to a tag that are prose in any page.
+PROSE = 30.0
+#: Least share of the core that article or main elements hold to be the content.
+ARTICLE_SHARE = 0.1
 
 # HTML element names by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -54,12 +60,23 @@ _SPACE = re.compile(r"\s+")
 
 
 class Line:
-    """One block of text: its white space folded, its tags and link characters counted."""
+    """One block of text: its white space folded, its tags and link characters counted.
 
-    __slots__ = ("links", "path", "tags", "text")
+    ``parts`` are (text, whether a link, the marked elements around it).
+    """
 
-    def __init__(self, text: str, tags: int, links: int, path: tuple[int, ...]):
-        self.text, self.tags, self.links, self.path = text, tags, links, path
+    __slots__ = ("links", "parts", "path", "tags", "text")
+
+    def __init__(self, parts: list[tuple[str, bool, tuple[int, ...]]], tags: int, path: tuple[int, ...]):
+        self.parts, self.tags, self.path = parts, tags, path
+        self.text = _SPACE.sub(" ", "".join(t for t, _, _ in parts)).strip()
+        self.links = sum(len(t) for t, link, _ in parts if link)
+
+    def without(self, gone: set[int]) -> Line:
+        """The line with a space for each part inside the elements ``gone``."""
+        if not any(marks and not gone.isdisjoint(marks) for _, _, marks in self.parts):
+            return self
+        return Line([(" ", False, ()) if not gone.isdisjoint(marks) else (t, link, marks) for t, link, marks in self.parts], self.tags, self.path)
 
 
 class Lines(HTMLParser):
@@ -68,19 +85,21 @@ class Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, bool, bool]] = []  # tag, whether dropped, whether a block on the path
+        self.open: list[tuple[str, bool, bool, bool]] = []  # tag, whether dropped, marked, a block on the path
         self.path: tuple[int, ...] = ()
-        self.blocks = self.dropped = self.anchors = self.articles = 0
-        self.parts: list[str] = []
-        self.tags = self.links = 0
+        self.marks: tuple[int, ...] = ()  # marked elements that are open
+        self.kinds: dict[int, str] = {}  # article and main elements by their number on the path
+        self.blocks = self.marked = self.dropped = self.anchors = self.articles = 0
+        self.parts: list[tuple[str, bool, tuple[int, ...]]] = []
+        self.tags = 0
 
     def flush(self) -> None:
         if self.parts:
-            text = _SPACE.sub(" ", "".join(self.parts)).strip()
-            if text:
-                self.lines.append(Line(text, max(1, self.tags), self.links, self.path))
+            line = Line(self.parts, max(1, self.tags), self.path)
+            if line.text:
+                self.lines.append(line)
             self.parts = []
-        self.tags = self.links = 0
+        self.tags = 0
 
     def _unwanted(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in DROPPED:
@@ -94,6 +113,11 @@ class Lines(HTMLParser):
                 return True
             if name == "style" and value and "display:none" in value.replace(" ", "").lower():
                 return True
+        return False
+
+    def _named(self, attrs: list[tuple[str, str | None]]) -> bool:
+        """Whether class, id or role have a word that marks what is not the article."""
+        for name, value in attrs:
             if name in ("class", "id", "role") and value:
                 marks = set(_SPLIT.split(_CAMEL.sub("-", value).lower()))
                 if marks & MARKS or ("header" in marks and not self.articles):
@@ -101,8 +125,10 @@ class Lines(HTMLParser):
         return False
 
     def _pop(self) -> None:
-        tag, dropped, block = self.open.pop()
+        tag, dropped, marked, block = self.open.pop()
         self.dropped -= dropped
+        if marked:
+            self.marks = self.marks[:-1]
         self.anchors -= tag == "a"
         self.articles -= tag in ("article", "main")
         if block:
@@ -111,7 +137,7 @@ class Lines(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
             self.flush()
-            if self.open and self.open[-1][0] != "p" and any(t == "p" for t, _, _ in self.open[-8:]):
+            if self.open and self.open[-1][0] != "p" and any(x[0] == "p" for x in self.open[-8:]):
                 self._close("p")
             elif self.open and self.open[-1][0] == "p":
                 self._pop()
@@ -121,19 +147,26 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             if tag in ("br", "img", "wbr") and not self.dropped:
-                self.parts.append(" " if tag != "wbr" else "")
+                self.parts.append((" " if tag != "wbr" else "", False, self.marks))
             return
         dropped = self._unwanted(tag, attrs)
         if dropped and tag not in BLOCK and not self.dropped:
-            self.parts.append(" ")
+            self.parts.append((" ", False, self.marks))
+        named = not self.dropped and not dropped and tag not in ("html", "body") and self._named(attrs)
+        marked = named and tag not in ("main", "article")
         block = tag in BLOCK and tag not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "tr")
-        self.open.append((tag, dropped, block))
+        self.open.append((tag, dropped, marked, block))
         self.dropped += dropped
         self.anchors += tag == "a"
         self.articles += tag in ("article", "main")
         if block:
             self.blocks += 1
             self.path = (*self.path, self.blocks)
+        if marked:
+            self.marked += 1
+            self.marks = (*self.marks, self.marked)
+        if tag in ("article", "main"):
+            self.kinds[self.blocks] = tag
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # a slash closes nothing in HTML but void elements, and those are none to close
@@ -157,15 +190,13 @@ class Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.dropped:
-            self.parts.append(data)
-            if self.anchors:
-                self.links += len(data)
+            self.parts.append((data, self.anchors > 0, self.marks))
 
     def unknown_decl(self, data: str) -> None:
         pass
 
 
-def parsed(html: str) -> list[Line]:
+def parsed(html: str) -> Lines:
     for source in (html, html.replace("<![", "&lt;![")):  # the second way for sections the parser refuses
         reader = Lines()
         try:
@@ -174,8 +205,8 @@ def parsed(html: str) -> list[Line]:
         except AssertionError:
             continue
         reader.flush()
-        return reader.lines
-    return []
+        return reader
+    return Lines()
 
 
 _KERNEL = [math.exp(-(k * k) / (2 * WIDTH * WIDTH)) for k in range(-RADIUS, RADIUS + 1)]
@@ -191,24 +222,46 @@ def smoothed(ratios: list[float]) -> list[float]:
     return out
 
 
-def content(lines: list[Line]) -> list[str]:
-    """Texts of the lines in the content region, in page order."""
+def dense(lines: list[Line]) -> list[int]:
+    """Places of the core lines."""
     if not lines:
         return []
-    ratios = smoothed([len(x.text) / x.tags for x in lines])
+    own = [len(x.text) / x.tags for x in lines]
+    ratios = smoothed(own)
     mean = sum(ratios) / len(ratios)
-    limit = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
-    core = [k for k, x in enumerate(lines) if ratios[k] >= limit and 2 * x.links <= len(x.text)]
+    limit = min(PROSE, math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios)))
+    return [k for k, x in enumerate(lines) if min(own[k], ratios[k]) >= limit and 2 * x.links <= len(x.text)]
+
+
+def unmarked(page: Lines) -> list[Line]:
+    """The lines without what names mark."""
+    if not page.marked:
+        return page.lines
+    gone = set(range(1, page.marked + 1))
+    return [x for x in (line.without(gone) for line in page.lines) if x.text]
+
+
+def content(page: Lines) -> list[str]:
+    """Texts of the lines in the content region, in page order."""
+    lines = unmarked(page)
+    core = dense(lines)
     if not core:
         return [x.text for x in lines if 2 * x.links <= len(x.text)]
-    total, held = sum(len(lines[k].text) for k in core), {}
-    for k in core:
-        for depth in range(len(lines[k].path) + 1):
-            held[lines[k].path[:depth]] = held.get(lines[k].path[:depth], 0) + len(lines[k].text)
-    region = max((p for p, n in held.items() if n >= CORE_SHARE * total), key=len)
-    inside = [k for k, x in enumerate(lines) if x.path[: len(region)] == region]
-    parents = {lines[k].path for k in core}
-    return [lines[k].text for k in inside if lines[k].path in parents or lines[k].path == region or (core[0] <= k <= core[-1] and 2 * lines[k].links <= len(lines[k].text))]
+    mass = lambda places: sum(len(lines[k].text) for k in places)
+    for kind in ("article", "main"):
+        inside = [k for k in core if any(page.kinds.get(b) == kind for b in lines[k].path)]
+        rest = [k for k in core if not any(marks for _, _, marks in lines[k].parts)]
+        if inside and mass(inside) >= ARTICLE_SHARE * mass(core) and 2 * mass(inside) >= mass(set(rest) | set(inside)):
+            core = inside
+            break
+    first, last = min(lines[k].path for k in core), max(lines[k].path for k in core)
+    depth = next((d for d, (a, b) in enumerate(zip(first, last)) if a != b), min(len(first), len(last)))
+    region = first[:depth]
+    around = [d for d, b in enumerate(region) if b in page.kinds]
+    if around:
+        region = region[: around[-1] + 1]
+    parents = {lines[k].path for k in core} | {region}
+    return [x.text for x in lines if x.path[: len(region)] == region and (x.path in parents or 2 * x.links <= len(x.text))]
 
 
 def main_text(html: str | None) -> str:

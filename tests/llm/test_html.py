@@ -59,3 +59,30 @@ def test_odd_pages(spark):
 
 def test_smoothing_keeps_a_constant():
     assert all(abs(x - 4.0) < 1e-12 for x in html.smoothed([4.0] * 7))
+
+
+def prose(k, n=30):
+    return " ".join(f"word{k}x{j}" for j in range(n)) + "."
+
+
+MENU = "<nav><a href=/>Home</a></nav><div>Menu</div>"
+
+
+def test_title_and_lead_outside_the_body_element_stay():
+    body = "".join(f"<p>{prose(k)}</p>" for k in range(8))
+    want = "\n".join(["Title", "A lead.", *map(prose, range(8))])
+    for tag in ("article", "main"):
+        assert html.main_text(f"{MENU}<{tag}><h1>Title</h1><p>A lead.</p><div class=body>{body}</div></{tag}><div>Imprint</div>") == want
+
+
+def test_unequal_sections_stay():
+    sections = "".join(f"<section>{''.join(f'<p>{prose(100 * s + k)}</p>' for k in range(n))}</section>" for s, n in enumerate((23, 2)))
+    want = "\n".join(prose(100 * s + k) for s, n in enumerate((23, 2)) for k in range(n))
+    assert html.main_text(f"<body>{MENU}<div>{sections}</div><footer>Imprint</footer></body>") == want
+
+
+def test_one_very_long_block_leaves_its_siblings():
+    parts = [prose(k) for k in range(12)]
+    parts[6] = prose(6, 5000)
+    page = f"<body>{MENU}<div>{''.join(f'<div><p>{p}</p></div>' for p in parts)}</div></body>"
+    assert html.main_text(page) == "\n".join(parts)
