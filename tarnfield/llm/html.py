@@ -1,8 +1,8 @@
 """Operator 7, main text of web pages from parser events and text-to-tag ratios.
 
 The events of the standard library's parser are cut into lines, one for each
-block element with text. Lines in elements that hold no article text (menus,
-forms, scripts; by tag, role, class or id) are dropped. Each line left has a ratio of characters to tags; the
+block element with text. Lines in elements whose tag holds no article text (menus,
+forms, scripts) are dropped. Each line left has a ratio of characters to tags; the
 ratios are smoothed by a Gaussian kernel, and lines whose own and smoothed ratio are
 not under one standard deviation, or under PROSE if that is less, are the core: one
 very long block cannot raise the limit above that of plain prose. The content region
@@ -10,6 +10,9 @@ is the smallest element that holds the whole core, or the article or main around
 Where such elements hold most of the core, only what is in them counts as core. In
 the region all lines are kept but those mainly of links that stand apart from it.
 
+A role, class or id is evidence only: what it marks goes, unless it holds an article
+without mark or a main, or more than half of the page's core text.
+
 Defined results: null, empty or tag-only html gives the empty text; broken markup
 is read as far as the parser makes sense of it, never raised; null page ids and
 urls and repeated rows come back row by row; an empty table gives an empty result;
@@ -88,6 +91,7 @@ class Lines(HTMLParser):
         self.open: list[tuple[str, bool, bool, bool]] = []  # tag, whether dropped, marked, a block on the path
         self.path: tuple[int, ...] = ()
         self.marks: tuple[int, ...] = ()  # marked elements that are open
+        self.holders: set[int] = set()  # marked elements that hold a main, or an article without mark
         self.kinds: dict[int, str] = {}  # article and main elements by their number on the path
         self.blocks = self.marked = self.dropped = self.anchors = self.articles = 0
         self.parts: list[tuple[str, bool, tuple[int, ...]]] = []
@@ -167,6 +171,8 @@ class Lines(HTMLParser):
             self.marks = (*self.marks, self.marked)
         if tag in ("article", "main"):
             self.kinds[self.blocks] = tag
+            if not named or tag == "main":
+                self.holders.update(self.marks)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # a slash closes nothing in HTML but void elements, and those are none to close
@@ -234,10 +240,17 @@ def dense(lines: list[Line]) -> list[int]:
 
 
 def unmarked(page: Lines) -> list[Line]:
-    """The lines without what names mark."""
+    """The lines without what names mark, as far as the text does not speak against it."""
     if not page.marked:
         return page.lines
-    gone = set(range(1, page.marked + 1))
+    places = dense(page.lines) or range(len(page.lines))
+    total, held = 0, dict.fromkeys(range(1, page.marked + 1), 0)
+    for k in places:
+        for text, _, marks in page.lines[k].parts:
+            total += len(text)
+            for m in marks:
+                held[m] += len(text)
+    gone = {m for m, n in held.items() if m not in page.holders and 2 * n <= total}
     return [x for x in (line.without(gone) for line in page.lines) if x.text]
 
 

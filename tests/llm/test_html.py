@@ -86,3 +86,12 @@ def test_one_very_long_block_leaves_its_siblings():
     parts[6] = prose(6, 5000)
     page = f"<body>{MENU}<div>{''.join(f'<div><p>{p}</p></div>' for p in parts)}</div></body>"
     assert html.main_text(page) == "\n".join(parts)
+
+
+def test_marked_wrappers_of_the_article_stay():
+    inner = "<h1>Title</h1>" + "".join(f"<p>{prose(k)}</p>" for k in range(6))
+    want = "\n".join(["Title", *map(prose, range(6))])
+    side = f"<div class=sidebar><p>{prose(90)}</p></div><section id=comments><article class=comment><p>{prose(91)}</p></article></section>"
+    for names in ("content has-sidebar", "no-comments", "comments-open", "layout sidebar-right"):
+        for body in (f"<article>{inner}</article>", f"<div class=post>{inner}</div>"):
+            assert html.main_text(f"<body>{MENU}<div class='{names}'>{body}{side}</div></body>") == want
