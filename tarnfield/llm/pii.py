@@ -3,9 +3,8 @@
 An entity is a distinct value found by a pattern. Words near it may reveal it even
 after it is gone. How strongly word t reveals entity e is their pointwise mutual
 information, log(p(e, t) / (p(e) p(t))), against all that there is to know of e,
-its information content -log p(e), with probabilities estimated by documents:
-p(t) over all documents, p(e) and p(e, t) over distinct texts, so that copies are
-no evidence. A word that gives ``share`` of the content or more, and stands near e
+its information content -log p(e), with probabilities estimated by distinct texts,
+so that copies are no evidence. A word that gives ``share`` of the content or more, and stands near e
 in at least ``support`` texts, is above the disclosure threshold there.
 
 ``sanitised`` puts a general term in place of what was found: the kind of an
@@ -178,16 +177,17 @@ def _counts(held: dict[str, int]) -> pa.RecordBatch:
 
 
 def revealing(found: DataFrame, texts: DataFrame, spark: SparkSession, share: float, support: int) -> DataFrame:
-    """``(entity, word)`` above the disclosure threshold, by all of ``texts(text)``."""
+    """``(entity, word)`` above the disclosure threshold, by all of ``texts(text_key, text)``."""
     each = found.select("text_key", F.explode("near").alias("w")).select("text_key", "w.entity", "w.word")
     together = each.groupBy("entity", "word").agg(F.count_distinct("text_key").alias("both")).where(F.col("both") >= support)
     together = stored(together, spark)
     entities = each.groupBy("entity").agg(F.count_distinct("text_key").alias("texts"))
     bits = np.zeros(FILTER, bool)
     bits[[r[0] for r in together.select("word").distinct().mapInArrow(_buckets, "bucket int").distinct().collect()]] = True
-    held = texts.where("text is not null").select("text").mapInArrow(_document_counts(bits), "word string, docs bigint")
+    once = texts.where("text is not null").groupBy("text_key").agg(F.first("text").alias("text"))
+    held = once.select("text").mapInArrow(_document_counts(bits), "word string, docs bigint")
     held = held.groupBy("word").agg(F.sum("docs").alias("docs"))
-    total = found.agg(F.count("*")).first()[0]
+    total = found.agg(F.count_distinct("text_key")).first()[0]
     joined = salted_join(salted_join(together, held, ["word"], F.col("entity")), entities, ["entity"], F.col("word"))
     content = F.log(F.lit(float(total)) / F.col("texts"))
     shared = F.log(F.col("both") * float(total) / (F.col("texts") * F.greatest("docs", "both")))
@@ -196,7 +196,7 @@ def revealing(found: DataFrame, texts: DataFrame, spark: SparkSession, share: fl
 
 def scanned(documents: DataFrame, spark: SparkSession, share: float = SHARE, support: int = SUPPORT) -> DataFrame:
     """Spans of every row of ``documents(doc_id, text)``: ``base`` and ``all``, as arrays in order."""
-    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key().alias("row_key"), F.xxhash64("text").alias("text_key"), "text")
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key().alias("row_key"), F.expr("if(text is null, null, xxhash64(text))").alias("text_key"), "text")
     found = stored(rows.mapInArrow(_scan, FOUND), spark)
     reveal = stored(revealing(found, rows, spark, share, support), spark)
     words = found.select("row_key", F.explode("near").alias("w")).select("row_key", "w.entity", "w.word", "w.start", "w.end")

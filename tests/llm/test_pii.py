@@ -85,3 +85,12 @@ def test_many_entities_in_one_text_take_linear_time():
     text = "Write to the address a@b.c or call " * 20_000
     spans = pii.base_spans(text)
     assert len(spans) == 20_000 and len(pii.terms(text, spans)) > 200_000
+
+
+def test_copies_of_a_text_do_not_hide_its_revealing_word(spark):
+    rows = [(k, f"{filler(k)} a plain report {filler(k + 500)}") for k in range(200)]
+    texts = [f"{filler(900 + 9 * k)} written by Marla at marla@example.org {filler(700 + 9 * k)}" for k in range(3)]
+    rows += [(300 + k, texts[k]) for k in range(3)] + [(400 + k, texts[0]) for k in range(100)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: {dict(rows)[r.doc_id][s.start : s.end] for s in r["all"]} for r in pii.scanned(df, spark).collect() if r.doc_id >= 300}
+    assert len(found) == 103 and all({"Marla", "marla@example.org"} <= v for v in found.values())
