@@ -1,17 +1,20 @@
 """Operator 10, personal data: fixed patterns, and terms that reveal what they found.
 
-An entity is a distinct value found by a pattern. Words near it may reveal it even
-after it is gone. How strongly word t reveals entity e is their pointwise mutual
+An entity is a distinct value found by a pattern. Words of the documents that hold
+it may reveal it even after it is gone. How strongly word t reveals entity e is their pointwise mutual
 information, log(p(e, t) / (p(e) p(t))), against all that there is to know of e,
 its information content -log p(e), with probabilities estimated by distinct texts,
-so that copies are no evidence. A word that gives ``share`` of the content or more, and stands near e
-in at least ``support`` texts, is above the disclosure threshold there.
+so that copies are no evidence. A word that gives ``share`` of the content or more,
+and stands with e in at least ``support`` texts, is above the disclosure threshold:
+each of its occurrences is a span in every document that holds e. An entity of one
+text has no such word, as every rare word of that text would do alike.
 
 ``sanitised`` puts a general term in place of what was found: the kind of an
 entity, NAME for a capitalised word; other words go.
 
 Defined results: a null or empty text has no spans and stays as it is; texts of any
-length are read whole, in linear time; repeated rows and null ids come back row by
+length are read whole, in linear time, but a text with n entities that recur in other
+texts gives out each of its distinct words n times; repeated rows and null ids come back row by
 row; an empty table gives an empty result; other columns are ignored, and kept by
 ``sanitised``.
 """
@@ -35,10 +38,12 @@ from tarnfield.llm.langid import Words
 from tarnfield.sources import read_table
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Words before and after an entity that are looked at, and the letters they are sought in.
+#: Words before and after an entity that ``terms`` gives, and the letters they are sought in.
 NEAR, REACH = 10, 400
 SHARE, SUPPORT = 0.8, 2
 FILTER = 1 << 20
+#: Pairs of entity and word that a task gives out at once.
+PAIRS = 50_000
 #: Distinct words that a task counts before it gives the counts out.
 HELD = 200_000
 
@@ -94,7 +99,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _plain(word: str) -> str:
-    return "".join(c.lower() if len(c.lower()) == 1 else c for c in word)
+    return word.lower() if word.isascii() else "".join(c.lower() if len(c.lower()) == 1 else c for c in word)
+
+
+def entity(text: str, start: int, kind: int, end: int) -> int:
+    """A hash that names the value of a span, however it is written."""
+    value = text[start:end].lower() if kind == 0 else re.sub(r"[^0-9.]" if kind == 1 else r"[^0-9]", "", text[start:end])
+    return xxhash.xxh3_64_intdigest(f"{kind}:{value}") - (1 << 63)
+
+
+def words_outside(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(word, start, end) of all words of a text that touch none of its spans."""
+    starts, ends = [a for a, _, _ in spans], list(accumulate((b for _, _, b in spans), max))
+    for m in WORD.finditer(text):
+        opened = bisect_left(starts, m.end())
+        if not opened or ends[opened - 1] <= m.start():
+            yield _plain(m[0]), m.start(), m.end()
 
 
 def terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, str, int, int]]:
@@ -102,8 +122,7 @@ def terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, str,
     starts, ends = [a for a, _, _ in spans], list(accumulate((b for _, _, b in spans), max))
     out = []
     for a, kind, b in spans:
-        value = text[a:b].lower() if kind == 0 else re.sub(r"[^0-9.]" if kind == 1 else r"[^0-9]", "", text[a:b])
-        entity = xxhash.xxh3_64_intdigest(f"{kind}:{value}") - (1 << 63)
+        name = entity(text, a, kind, b)
         low = max(0, a - REACH)
         before = [(m.start() + low, m.end() + low) for m in WORD.finditer(text[low:a])]
         if low and before and before[0][0] == low:
@@ -114,28 +133,54 @@ def terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, str,
         for x, y in before[-NEAR:] + after[:NEAR]:
             opened = bisect_left(starts, y)
             if not opened or ends[opened - 1] <= x:
-                out.append((entity, _plain(text[x:y]), x, y))
+                out.append((name, _plain(text[x:y]), x, y))
     return out
 
 
-FOUND = (
-    "doc_id bigint, row_key bigint, text_key bigint, base array<struct<start:bigint,kind:int,end:bigint>>,"
-    " near array<struct<entity:bigint,word:string,start:bigint,end:bigint>>"
-)
+_SPANS = "array<struct<start:bigint,kind:int,end:bigint>>"
+#: ``text`` is kept where there are entities.
+FOUND = f"doc_id bigint, row_key bigint, text_key bigint, base {_SPANS}, entities array<bigint>, text string"
 _BASE = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
-_NEAR = pa.list_(pa.struct([("entity", pa.int64()), ("word", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _structs(spans: list[tuple[int, int, int]]) -> list[dict[str, int]]:
+    return [dict(zip(("start", "kind", "end"), x)) for x in spans]
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, 3):
-            base, near = [], []
+            base, entities, texts = [], [], []
             for text in batch.column(3).to_pylist():
                 own = base_spans(text) if text else []
-                base.append([dict(zip(("start", "kind", "end"), x)) for x in own])
-                near.append([dict(zip(("entity", "word", "start", "end"), x)) for x in terms(text, own)] if own else [])
-            columns = [*batch.columns[:3], pa.array(base, _BASE), pa.array(near, _NEAR)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_key", "text_key", "base", "near"])
+                base.append(_structs(own))
+                entities.append(sorted({entity(text, *x) for x in own}))
+                texts.append(text if own else None)
+            columns = [*batch.columns[:3], pa.array(base, _BASE), pa.array(entities, pa.list_(pa.int64())), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_key", "text_key", "base", "entities", "text"])
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each entity of a text with each distinct word of it."""
+    for whole in batches:
+        for batch in slices(whole, 1):
+            for entities, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = pa.array(sorted({w for w, _, _ in words_outside(text, base_spans(text))}), pa.string())
+                for name in entities:
+                    for at in range(0, len(words), PAIRS):
+                        part = words[at : at + PAIRS]
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(part), pa.int64()), part], ["entity", "word"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The spans of the words that reveal an entity of the text, all over it."""
+    for whole in batches:
+        for batch in slices(whole, 1):
+            spans = []
+            for text, words in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                wanted = set(words)
+                spans.append(_structs([(a, KINDS.index("term"), b) for w, a, b in words_outside(text, base_spans(text)) if w in wanted]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _BASE)], ["text_key", "added"])
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,18 +221,24 @@ def _counts(held: dict[str, int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["word", "docs"])
 
 
-def revealing(found: DataFrame, texts: DataFrame, spark: SparkSession, share: float, support: int) -> DataFrame:
-    """``(entity, word)`` above the disclosure threshold, by all of ``texts(text_key, text)``."""
-    each = found.select("text_key", F.explode("near").alias("w")).select("text_key", "w.entity", "w.word")
-    together = each.groupBy("entity", "word").agg(F.count_distinct("text_key").alias("both")).where(F.col("both") >= support)
-    together = stored(together, spark)
-    entities = each.groupBy("entity").agg(F.count_distinct("text_key").alias("texts"))
+def revealing(each: DataFrame, holding: DataFrame, texts: DataFrame, spark: SparkSession, share: float, support: int) -> DataFrame:
+    """``(entity, word)`` above the disclosure threshold, by all of ``texts(text_key, text)``.
+
+    ``each(text_key, entity)`` and ``holding(text_key, text)`` are the distinct texts with entities.
+    """
+    entities = stored(each.groupBy("entity").agg(F.count("*").alias("texts")).where(F.col("texts") >= support), spark)
+    own = salted_join(each, entities.select("entity"), ["entity"], F.col("text_key")).groupBy("text_key").agg(F.collect_set("entity").alias("own"))
+    pairs = own.join(holding, "text_key").select("own", "text").mapInArrow(_pairs, "entity bigint, word string")
+    together = stored(pairs.groupBy("entity", "word").agg(F.count("*").alias("both")).where(F.col("both") >= support), spark)
+    buckets = [r[0] for r in together.select("word").distinct().mapInArrow(_buckets, "bucket int").distinct().collect()]
+    if not buckets:
+        return together.select("entity", "word")
     bits = np.zeros(FILTER, bool)
-    bits[[r[0] for r in together.select("word").distinct().mapInArrow(_buckets, "bucket int").distinct().collect()]] = True
+    bits[buckets] = True
     once = texts.where("text is not null").groupBy("text_key").agg(F.first("text").alias("text"))
     held = once.select("text").mapInArrow(_document_counts(bits), "word string, docs bigint")
     held = held.groupBy("word").agg(F.sum("docs").alias("docs"))
-    total = found.agg(F.count_distinct("text_key")).first()[0]
+    total = texts.agg(F.count_distinct("text_key")).first()[0]
     joined = salted_join(salted_join(together, held, ["word"], F.col("entity")), entities, ["entity"], F.col("word"))
     content = F.log(F.lit(float(total)) / F.col("texts"))
     shared = F.log(F.col("both") * float(total) / (F.col("texts") * F.greatest("docs", "both")))
@@ -196,14 +247,18 @@ def revealing(found: DataFrame, texts: DataFrame, spark: SparkSession, share: fl
 
 def scanned(documents: DataFrame, spark: SparkSession, share: float = SHARE, support: int = SUPPORT) -> DataFrame:
     """Spans of every row of ``documents(doc_id, text)``: ``base`` and ``all``, as arrays in order."""
-    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key().alias("row_key"), F.expr("if(text is null, null, xxhash64(text))").alias("text_key"), "text")
+    key = F.expr("if(text is null, null, xxhash64(text))").alias("text_key")
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key().alias("row_key"), key, "text")
     found = stored(rows.mapInArrow(_scan, FOUND), spark)
-    reveal = stored(revealing(found, rows, spark, share, support), spark)
-    words = found.select("row_key", F.explode("near").alias("w")).select("row_key", "w.entity", "w.word", "w.start", "w.end")
-    span = F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end")
-    added = salted_join(words, reveal, ["entity", "word"], F.col("row_key")).groupBy("row_key").agg(F.collect_set(span).alias("added"))
-    out = found.drop("near", "text_key").join(added, "row_key", "left")
-    return out.withColumn("all", F.expr("array_sort(concat(base, coalesce(added, cast(array() as array<struct<start:bigint,kind:int,end:bigint>>))))"))
+    with_any = found.where(F.size("entities") > 0)
+    each = stored(with_any.select("text_key", F.explode("entities").alias("entity")).distinct(), spark)
+    holding = with_any.groupBy("text_key").agg(F.first("text").alias("text"))
+    reveal = stored(revealing(each, holding, rows.select("text_key", "text"), spark, share, support), spark)
+    words = reveal.groupBy("entity").agg(F.collect_set("word").alias("words"))
+    words = salted_join(each, words, ["entity"], F.col("text_key")).groupBy("text_key").agg(F.array_distinct(F.flatten(F.collect_set("words"))).alias("words"))
+    added = holding.join(words, "text_key").select("text_key", "text", "words").mapInArrow(_added, f"text_key bigint, added {_SPANS}")
+    out = salted_join(found.drop("entities", "text"), added, ["text_key"], F.col("row_key"), "left").drop("text_key")
+    return out.withColumn("all", F.expr(f"array_sort(concat(base, coalesce(added, cast(array() as {_SPANS}))))"))
 
 
 def row_key():

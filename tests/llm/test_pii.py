@@ -94,3 +94,14 @@ def test_copies_of_a_text_do_not_hide_its_revealing_word(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     found = {r.doc_id: {dict(rows)[r.doc_id][s.start : s.end] for s in r["all"]} for r in pii.scanned(df, spark).collect() if r.doc_id >= 300}
     assert len(found) == 103 and all({"Marla", "marla@example.org"} <= v for v in found.values())
+
+
+def test_revealing_words_far_from_the_entity_go_everywhere_in_its_documents(spark):
+    rows = [(k, f"{filler(k)} a plain report {filler(k + 500)}") for k in range(200)]
+    far = "the report in the town " * 100
+    rows += [(300 + k, f"Marla {filler(900 + 9 * k)} {far} sent to marla@example.org {far} signed Marla {filler(700 + 9 * k)}") for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: [dict(rows)[r.doc_id][s.start : s.end] for s in r["all"]] for r in pii.scanned(df, spark).collect()}
+    assert all(found[300 + k].count("Marla") == 2 for k in range(3)) and not any(v for k, v in found.items() if k < 300)
+    clean = {r.doc_id: r.text for r in pii.sanitised(df, spark).collect()}
+    assert not any("Marla" in clean[300 + k] or "marla" in clean[300 + k] for k in range(3))
