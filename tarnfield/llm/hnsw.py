@@ -373,13 +373,19 @@ def _packed(build: bool, least: float):
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted so that a shard's graph comes before the blocks searched in it."""
-    graph = None
+    """Over rows sorted so that a shard's graph comes before the blocks searched in it.
+
+    A rare length does not reach every shard; its blocks find nothing where there is no graph.
+    """
+    graph = own = None
     for batch in batches:
         for k in range(batch.num_rows):
+            key = tuple(batch.column(c)[k].as_py() for c in ("dim", "shard", "lane"))
+            if batch.column("is_block")[k].as_py() and key != own:
+                continue
             data = pickle.loads(batch.column("data")[k].as_buffer())
             if not batch.column("is_block")[k].as_py():
-                graph = Graph.__new__(Graph)
+                own, graph = key, Graph.__new__(Graph)
                 graph.__dict__ = data
                 a, b = graph.balls() if batch.column("lane")[k].as_py() == 0 else (np.empty(0, np.int64),) * 2
                 names = count = np.empty(0, np.int64)

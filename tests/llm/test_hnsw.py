@@ -73,3 +73,20 @@ def test_odd_rows(spark):
     want = [(k, linked.get(k, 0), 7 if k in linked else k, k not in (8, 9)) for k in range(1, 12)] + [(None, 0, None, False)] * 2
     assert got == sorted(want, key=str)
     assert hnsw.linked(df.limit(0), spark).count() == 0
+
+
+def test_rare_lengths_do_not_reach_every_shard(spark):
+    rng = np.random.default_rng(5)
+    groups = [rng.standard_normal((n, dim)) for dim, n in ((3, 2), (5, 1), (24, 600), (40, 3))]
+    groups[0][1], groups[3][1:] = groups[0][0], groups[3][0]
+    groups[2][1::2] = groups[2][::2] + 0.1 * rng.standard_normal((300, 24))
+    want, rows = {}, []
+    for x in groups:
+        names = np.arange(len(rows), len(rows) + len(x))
+        want |= brute(names, hnsw._unit(x.tolist()))
+        rows += [(int(n), v.tolist()) for n, v in zip(names, x)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in hnsw.linked(df, spark, shard_bytes=60 * 24 * 8).collect()}
+    assert got.keys() == want.keys() and all(got[k][0] <= want[k][0] for k in want)
+    assert all(got[k] == want[k] for k in want if not 3 <= k < 603)
+    assert sum(got[k] == want[k] for k in want) >= 0.99 * len(want)
