@@ -3,8 +3,9 @@
 Lines are normalised (lower case, single spaces, each digit 0) and hashed. For
 each host, here ``source``, the distinct documents that hold a line are counted;
 documents of the same text count once, so copies alone make no line frequent.
-A line is above the limit when it is in at least ``min_docs`` and more than
-``host_share`` of the host's documents. Such lines are removed, and a document is
+A line is above the limit when it is in ``short_docs`` of them, or in ``long_docs``
+if it has ``long_words`` words or more, however large the host is; and also when it
+is in at least ``min_docs`` and more than ``host_share`` of them. Such lines are removed, and a document is
 rejected when it fails the base rules or fewer than ``left_share`` of its words
 remain.
 
@@ -35,10 +36,13 @@ _DIGITS = re.compile(r"\d")
 
 MEASURED = (
     "doc_id bigint, row_key bigint, text_key bigint, host string, n_words bigint, word_chars bigint,"
-    " n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, lines array<struct<line:bigint,words:bigint>>"
+    " n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, lines array<struct<line:bigint,words:bigint,length:bigint>>"
 )
 
 
+_LINES = pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int64()), ("length", pa.int64())]))
+
+
 def line_key(line: str) -> int | None:
     """Signed 64-bit hash of a normalised line; None for a line without a word."""
     plain = " ".join(line.lower().split())
@@ -80,7 +84,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             per_row = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[offsets])
             dups, lines = [], []
             for text in batch.column(4).to_pylist():
-                seen, own, dup = set(), {}, 0
+                seen, own, length, dup = set(), {}, {}, 0
                 for line in (text or "").split("\n"):
                     n = len(line.encode().split())
                     if n:
@@ -89,11 +93,12 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         key = line_key(line)
                         if key is not None:
                             own[key] = own.get(key, 0) + n
+                            length[key] = max(n, length.get(key, 0))
                 dups.append(dup)
-                lines.append([{"line": k, "words": n} for k, n in own.items()])
+                lines.append([{"line": k, "words": n, "length": length[k]} for k, n in own.items()])
             counts = [n_words, per_row(_IS_INK[data] & ((data & 0xC0) != 0x80)), per_row(_IS_SYMBOL[data]), dups, repeat]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:4], *(pa.array(x, pa.int64()) for x in counts), pa.array(lines, pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int64())])))],
+                [*batch.columns[:4], *(pa.array(x, pa.int64()) for x in counts), pa.array(lines, _LINES)],
                 ["doc_id", "row_key", "text_key", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"],
             )
 
@@ -109,17 +114,29 @@ def with_row_key(documents: DataFrame) -> DataFrame:
     )
 
 
-def judge(documents: DataFrame, spark: SparkSession, min_docs: int = 20, host_share: float = 0.1, left_share: float = 0.3) -> DataFrame:
+def judge(
+    documents: DataFrame,
+    spark: SparkSession,
+    min_docs: int = 20,
+    host_share: float = 0.1,
+    left_share: float = 0.3,
+    short_docs: int = 100,
+    long_docs: int = 20,
+    long_words: int = 50,
+) -> DataFrame:
     """Counts and verdict of each row of ``documents(doc_id, text, source)``.
 
     Adds ``row_key``, ``removed_lines`` (hashes of normalised lines above the
     limit, null if none) and ``removed_words``.
     """
     measured = stored(with_row_key(documents).mapInArrow(_measure, MEASURED), spark)
-    of_line = measured.select("row_key", "text_key", "host", F.explode("lines").alias("l")).select("row_key", "text_key", "host", "l.line", "l.words")
+    of_line = measured.select("row_key", "text_key", "host", F.explode("lines").alias("l")).select("row_key", "text_key", "host", "l.*")
     hosts = measured.groupBy("host").agg(F.count_distinct("text_key").alias("host_docs"))
-    often = of_line.groupBy("host", "line").agg(F.count_distinct("text_key").alias("docs")).where(F.col("docs") >= min_docs)
-    above = salted_join(often, hosts, ["host"], F.col("line")).where(F.col("docs") > host_share * F.col("host_docs")).select("host", "line")
+    often = of_line.groupBy("host", "line").agg(F.count_distinct("text_key").alias("docs"), F.max("length").alias("length"))
+    often = often.where(F.col("docs") >= min(min_docs, short_docs, long_docs))
+    many = F.col("docs") >= F.when(F.col("length") >= long_words, long_docs).otherwise(short_docs)
+    large = (F.col("docs") >= min_docs) & (F.col("docs") > host_share * F.col("host_docs"))
+    above = salted_join(often, hosts, ["host"], F.col("line")).where(many | large).select("host", "line")
     removed = (
         salted_join(of_line, stored(above, spark), ["host", "line"], F.col("row_key"))
         .groupBy("row_key")
@@ -168,7 +185,8 @@ def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: The same over tables whose ids are unique.
+#: The same over tables whose ids are unique, by the share of the host alone: equal where
+#: no line that is in a smaller share reaches ``short_docs`` or ``long_docs``.
 SQL = """
 with d as (
   select doc_id, coalesce(source, '') as host, coalesce(text, '') as t,

@@ -79,3 +79,12 @@ def test_share_of_host_sets_the_limit(spark, share):
     rows = [(k, f"same line here\n{body(k)}", "a", "x") for k in range(25)]
     cut = quality.judge(frame(spark, rows), spark, host_share=share).agg(F.sum("removed_words")).first()[0]
     assert cut == (75 if share == 0.0 else 0)
+
+
+def test_lines_in_a_small_share_of_a_large_host_go_by_count(spark):
+    short, passage = "All rights reserved by the owner of this page", " ".join(f"passage{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    body = lambda k: " ".join(f"b{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}{chr(97 + j)}" for j in range(26))
+    lines = lambda k: [short] * (k < 100) + [passage] * (100 <= k < 120) + ["A line in 99 texts"] * (200 <= k < 299)
+    rows = [(k, "\n".join([*lines(k), body(k), body(k + 2000)]), "a", "x") for k in range(1300)]
+    got = {r.doc_id: r for r in quality.judge(frame(spark, rows), spark).collect()}
+    assert all(got[k].removed_words == (9 if k < 100 else 60 if k < 120 else 0) for k in range(1300))
