@@ -24,6 +24,9 @@ BATCH_BYTES = 4 << 20
 #: Parts into which the rows of a hot join key are dealt.
 SALTS = 16
 
+#: The run folder of each application of this process.
+_FOLDERS: dict[str, str] = {}
+
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
@@ -39,15 +42,25 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, ``spark.checkpoint.dir``.
+    """A folder of this application's own under ``spark.checkpoint.dir``; it goes when the application ends.
 
-    Only where that is unset, as in tests on one machine, a folder of our own.
+    Where the setting is absent, a local session gets a temporary folder. On a cluster
+    there is no folder that could stand in for a shared one, so that is an error.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="tarnfield-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    context = spark.sparkContext
+    if context.applicationId not in _FOLDERS:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir names no folder; set it to one that all executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="tarnfield-")
+        folder = f"{base.rstrip('/')}/tarnfield-{uuid.uuid4().hex}"
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _FOLDERS[context.applicationId] = folder
+    return _FOLDERS[context.applicationId]
 
 
 def worker_state() -> dict:
@@ -59,14 +72,24 @@ def stored(df: DataFrame, spark: SparkSession) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts lineage: a lost executor costs a reread, not a recomputation, and what
-    is read twice is computed once. The files may go once the query has ended.
+    is read twice is computed once. The files go when the application ends.
     """
     bound_batches(spark)
-    path = f"{shared_dir(spark)}/tarnfield-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame, spark: SparkSession) -> DataFrame:
+    """Rows of ``df`` as ``doc``, one struct, each with a number of its own, ``nr``; stored.
+
+    The number is fixed once it is written, so it names a row in every later join;
+    own columns stand beside ``doc`` and cannot clash with those of ``df``.
+    """
+    doc = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("doc")
+    return stored(df.select(F.monotonically_increasing_id().alias("nr"), doc), spark)
+
+
 def salted_join(many: DataFrame, few: DataFrame, on: list[str], spread: Column, how: str = "inner") -> DataFrame:
     """Join ``many`` with ``few`` where single keys may hold a large part of ``many``.
 
