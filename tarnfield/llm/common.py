@@ -158,9 +158,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word, and for each row the index of its first word."""
-    ink = ~_SPACE[data]
+def words(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word, and for each row the index of its first word; ``gap`` flags the bytes between words."""
+    ink = ~gap[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     first, last = ink.copy(), ink.copy()

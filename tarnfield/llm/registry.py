@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnfield.llm import bpe, gnat, hnsw, html, jaccard, langid, mixing, pii, quality, secretscan, tokenfile
+from tarnfield.llm import bestpos, bpe, gnat, hnsw, html, jaccard, langid, mixing, pii, quality, secretscan, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hnsw_dedup": hnsw.op1_hnsw_dedup,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": langid.op9_language_id,
     "op10_pii_terms": pii.op10_pii_terms,
     "op12_hyperplane_negatives": gnat.op12_hyperplane_negatives,
+    "op13_best_position": bestpos.op13_best_position,
 }
 
 ORACLES: dict[str, str] = {
@@ -28,4 +29,5 @@ ORACLES: dict[str, str] = {
     "op5_source_mix": mixing.SQL,
     "op6_line_quality": quality.SQL,
     "op12_hyperplane_negatives": gnat.SQL,
+    "op13_best_position": bestpos.SQL,
 }
