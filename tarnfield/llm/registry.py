@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnfield.llm import bestpos, bpe, gnat, hnsw, html, jaccard, langid, mixing, pii, quality, secretscan, tokenfile
+from tarnfield.llm import bestpos, bpe, brown, gnat, hnsw, html, jaccard, langid, mixing, pii, quality, secretscan, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hnsw_dedup": hnsw.op1_hnsw_dedup,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_file": tokenfile.op8_token_file,
     "op9_language_id": langid.op9_language_id,
     "op10_pii_terms": pii.op10_pii_terms,
+    "op11_brown_classes": brown.op11_brown_classes,
     "op12_hyperplane_negatives": gnat.op12_hyperplane_negatives,
     "op13_best_position": bestpos.op13_best_position,
 }
