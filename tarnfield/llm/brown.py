@@ -176,17 +176,50 @@ def gains(table: np.ndarray, own: np.ndarray, left: np.ndarray, right: np.ndarra
     return out - out[row, own][:, None]
 
 
-def _large(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
-    """Columns of about a million rows at a time."""
-    held, many = [], 0
+#: Bigrams in a block, about.
+BLOCK = 1 << 18
+BLOCKS = "unit binary, other binary, n binary, after binary"
+_TYPES = {"unit": "<i4", "other": "<i4", "n": "<i8", "after": "?"}
+
+
+def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bigrams sorted by unit, in blocks of arrays that hold units whole: rounds read them many times."""
+
+    def block(parts: list[dict[str, np.ndarray]], rows: slice) -> pa.RecordBatch:
+        data = [np.concatenate([p[c] for p in parts])[rows].astype(t).tobytes() for c, t in _TYPES.items()]
+        return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in data], list(_TYPES))
+
+    held: list[dict[str, np.ndarray]] = []
     for batch in batches:
-        held.append(batch)
-        many += batch.num_rows
-        if many >= 1 << 20:
-            yield [np.concatenate([x.column(c).to_numpy(zero_copy_only=False) for x in held]) for c in columns]
-            held, many = [], 0
-    if many:
-        yield [np.concatenate([x.column(c).to_numpy(zero_copy_only=False) for x in held]) for c in columns]
+        held.append({c: batch.column(c).to_numpy(zero_copy_only=False) for c in _TYPES})
+        if sum(len(p["unit"]) for p in held) >= BLOCK:
+            unit = np.concatenate([p["unit"] for p in held])
+            cut = int(np.searchsorted(unit, unit[-1]))
+            if cut:
+                yield block(held, slice(0, cut))
+                held = [{c: np.concatenate([p[c] for p in held])[cut:] for c in _TYPES}]
+    if sum(len(p["unit"]) for p in held):
+        yield block(held, slice(None))
+
+
+def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Units, what stands beside them, counts, and whether it is after the unit, of every block."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield [np.frombuffer(batch.column(c)[k].as_buffer(), t) for c, t in _TYPES.items()]
+
+
+def _sums(size: int):
+    """A task that counts units."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(size, np.int64)
+        for unit, _, n, after in _arrays(batches):
+            np.add.at(sums, unit[~after], n[~after])
+        unit = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(unit.astype(np.int32)), pa.array(sums[unit])], ["unit", "n"])
+
+    return task
 
 
 def _table(classes: np.ndarray, many: int):
@@ -194,8 +227,8 @@ def _table(classes: np.ndarray, many: int):
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(many * many)
-        for a, b, n in _large(batches, ("unit", "other", "n")):
-            sums += np.bincount(classes[a] * many + classes[b], n, many * many)
+        for a, b, n, after in _arrays(batches):
+            sums += np.bincount((classes[a] * many + classes[b])[after], n[after], many * many)
         cell = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(sums[cell].astype(np.int64))], ["cell", "n"])
 
@@ -208,7 +241,7 @@ def _moves(classes: np.ndarray, table: np.ndarray, may: np.ndarray):
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         beside, alone = np.zeros((2, size * many)), np.zeros(size)
-        for unit, other, n, after in _large(batches, ("unit", "other", "n", "after")):
+        for unit, other, n, after in _arrays(batches):
             same = unit == other
             alone += np.bincount(unit[same & after], n[same & after], size)
             for side in (0, 1):
@@ -232,8 +265,8 @@ def _moves(classes: np.ndarray, table: np.ndarray, may: np.ndarray):
 def exchanged(beside: DataFrame, counts: np.ndarray, many: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, list[float]]:
     """Class of every unit, the table of class bigrams, and the information after each round.
 
-    ``beside(unit, other, n, after)`` holds every bigram twice, for both of its units. What
-    comes to the driver is bounded by the number of units and of classes.
+    ``beside`` holds every bigram twice, in blocks, for both of its units. What comes to
+    the driver is bounded by the number of units and of classes.
     """
     size = len(counts)
     classes = np.zeros(size, np.int64)
@@ -242,7 +275,7 @@ def exchanged(beside: DataFrame, counts: np.ndarray, many: int, rounds: int = RO
 
     def counted(now: np.ndarray) -> np.ndarray:
         out = np.zeros(many * many, np.int64)
-        for r in beside.where("after").mapInArrow(_table(now, many), "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        for r in beside.mapInArrow(_table(now, many), "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
             out[r.cell] = r.n
         return out.reshape(many, many)
 
@@ -341,9 +374,9 @@ def trained(training: DataFrame, counts: DataFrame, spark: SparkSession, hot: in
     pairs = stored(pairs, spark)
     ahead = pairs.select(F.col("a").alias("unit"), F.col("b").alias("other"), "n", F.lit(True).alias("after"))
     behind = pairs.select(F.col("b").alias("unit"), F.col("a").alias("other"), "n", F.lit(False).alias("after"))
-    beside = stored(ahead.union(behind).repartition("unit"), spark)
+    beside = stored(ahead.union(behind).repartition("unit").sortWithinPartitions("unit").mapInArrow(_in_blocks, BLOCKS), spark)
     sums = np.zeros(units.size, np.int64)
-    for r in beside.where("not after").groupBy("unit").agg(F.sum("n").alias("n")).collect():
+    for r in beside.mapInArrow(_sums(units.size), "unit int, n bigint").groupBy("unit").agg(F.sum("n").alias("n")).collect():
         sums[r.unit] = r.n
     of_group = np.zeros(units.size, np.int64)
     for r in counts.select("word").mapInArrow(_of_group(units), "unit int, n bigint").groupBy("unit").agg(F.sum("n").alias("n")).collect():
