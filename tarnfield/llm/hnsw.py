@@ -1,6 +1,8 @@
 """Operator 1, near-duplicate vectors through a small-world graph for each shard.
 
-Vectors are dealt to shards by a hash of their id. A shard's task builds a
+Vectors are dealt to the nearest of some pivots, chosen far apart from a bounded sample,
+one for each shard that the bytes call for up to PIVOTS; what one pivot draws beyond a
+shard's size goes to several shards by a hash of the id. A shard's task builds a
 hierarchical navigable small-world graph, adding vectors in batches: the batch
 is searched in the graph so far, linked to diverse near ones and those to it.
 
@@ -8,11 +10,13 @@ Tight groups are held once: a vector within half the angle of ``least`` of one i
 the graph joins that one's ball and is not added itself. Two members of a ball are
 within the whole angle, so they are linked by the triangle inequality.
 
-Every vector is searched in every shard, in blocks. A beam whose last entry is
-still near enough to matter is doubled. Then recall is audited with probes: vectors
-of the shard turned away by exactly the angle of ``least``, and queries compared
-with the whole shard. While too few are found, the beams of the block are doubled;
-when a beam would hold the whole shard, the block is compared with all of it.
+Every vector is searched in every shard, in blocks, but where the distances of a
+pivot to the shard prove, by the triangle inequality, that no link can be there. A beam
+whose last entry is still near enough to matter is doubled. Recall is audited once for
+each graph, with vectors of the shard turned away by exactly the angle of ``least``, and
+once for each lane of blocks, with queries compared with the whole shard. While too few
+are found, beams are doubled; when a beam would hold the whole shard, blocks are
+compared with all of it.
 Vectors found are verified in double precision, a ball by its leader alone where
 the triangle inequality decides for all its members. A query's links are counted
 where they are found; only a forest of links leaves the task, and components of
@@ -40,9 +44,11 @@ from tarnfield.llm.common import components, groups, mix, stored
 from tarnfield.sources import read_table
 
 #: Bytes of the vectors in a shard, as doubles.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 64 << 20
 BLOCK_ROWS = 2_048
-LANE_BLOCKS = 32
+LANE_BLOCKS = 256
+#: Vectors that pivots are chosen from, and the most pivots.
+SAMPLE, PIVOTS = 4096, 256
 NEIGHBOURS, BUILD_BEAM, BEAM = 16, 48, 48
 PROBES, RECALL = 128, 0.98
 #: Links to each vector that the ground level keeps at least, as far as its neighbours allow.
@@ -78,17 +84,18 @@ class Graph:
     """A hierarchical navigable small-world graph over unit vectors, with balls."""
 
     def __init__(self, vectors: np.ndarray, names: np.ndarray, least: float):
-        order = np.argsort(mix(names.view(np.uint64)))
-        self.exact, self.names = vectors[order], names[order]
+        hashed = mix(names.view(np.uint64))
+        draw = (mix(names.view(np.uint64) ^ np.uint64(99)) >> np.uint64(11)).astype(np.float64) / 2.0**53
+        level = np.minimum((-np.log(np.maximum(draw, 1e-300)) / math.log(NEIGHBOURS)).astype(np.int64), 6)
+        order = np.lexsort((hashed, -level))  # those of a level are the first ones, and its links need no more rows
+        self.exact, self.names, self.level = vectors[order], names[order], level[order]
         self.small = self.exact.astype(np.float32)
         n = len(names)
         self.angle = math.acos(least)
         self.least = least
         self.radius = np.zeros(n)
         self.leader = np.full(n, -1, np.int64)
-        draw = (mix(self.names.view(np.uint64) ^ np.uint64(99)) >> np.uint64(11)).astype(np.float64) / 2.0**53
-        self.level = np.minimum((-np.log(np.maximum(draw, 1e-300)) / math.log(NEIGHBOURS)).astype(np.int64), 6)
-        self.links = [np.full((n, NEIGHBOURS * (2 if k == 0 else 1)), -1, np.int32) for k in range(7)]
+        self.links = [np.full((int((self.level >= k).sum()), NEIGHBOURS * (2 if k == 0 else 1)), -1, np.int32) for k in range(7)]
         self.top, self.entry = -1, -1
         self._build()
 
@@ -104,6 +111,8 @@ class Graph:
         self._rejoin()
         order = np.argsort(self.leader, kind="stable")
         self.members, self.first = order, np.searchsorted(self.leader[order], np.arange(n + 1))
+        self.width = BEAM
+        self.audit(*self.probes())
 
     def _rejoin(self) -> None:
         """Link again to vectors that full lists have dropped, in place of links to those with many."""
@@ -286,18 +295,23 @@ class Graph:
         turn = np.divide(turn, size, out=np.zeros_like(turn), where=size > 1e-9)
         return pick, (math.cos(self.angle) * base + math.sin(self.angle) * turn).astype(np.float32)
 
+    def audit(self, wanted: np.ndarray, queries: np.ndarray) -> None:
+        """Widen the beam until searches find the leader wanted of each query."""
+        while self.width < len(self.leaders):
+            met = set(zip(*(x.tolist() for x in self.near(queries, self.width))))
+            if sum((k, v) in met for k, v in enumerate(wanted.tolist())) >= RECALL * len(wanted):
+                return
+            self.width *= 2
+
+    def audit_sample(self, queries: np.ndarray) -> None:
+        """Widen the beam until a sample of queries meets the leaders that the whole shard gives."""
+        queries = queries[:: max(1, len(queries) // PROBES)].astype(np.float32)
+        of, wanted = self.every(queries)
+        self.audit(wanted, queries[of])
+
     def audited(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of ``near`` with the first beam width that passes the audits, or of ``every``."""
-        width, (pick, turned) = BEAM, self.probes()
-        sample = np.arange(len(queries))[:: max(1, len(queries) // PROBES)]
-        truth = set(zip(*(x.tolist() for x in self.every(queries[sample]))))
-        while width < len(self.leaders):
-            met = set(zip(*(x.tolist() for x in self.near(turned, width))))
-            met_all = set(zip(*(x.tolist() for x in self.near(queries[sample], width))))
-            if sum((k, v) in met for k, v in enumerate(pick.tolist())) >= RECALL * len(pick) and len(truth & met_all) >= RECALL * len(truth):
-                return self.near(queries, width)
-            width *= 2
-        return self.every(queries)
+        """Pairs of ``near`` with the beam that passed the audits, or of ``every``."""
+        return self.near(queries, self.width) if self.width < len(self.leaders) else self.every(queries)
 
     def links_of(self, queries: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Number of links of each query into the shard, and pairs that tie them together."""
@@ -358,39 +372,123 @@ def _unit(rows: list[list[float]]) -> np.ndarray:
     return x / np.sqrt(np.einsum("nd,nd->n", x, x))[:, None]
 
 
-def _packed(build: bool, least: float):
-    """A task over vectors sorted by part: one row for each part, a graph or a block of queries."""
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    return _unit(vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1))
+
+
+def _built(least: float):
+    """A task over vectors sorted by shard: one row for each shard, its graph."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups(batches, ["dim", "part"]):
-            names = group.column("vec_id").to_numpy()
-            flat = group.column("embedding").combine_chunks()
-            unit = _unit(flat.flatten().to_numpy(zero_copy_only=False).reshape(len(names), -1))
-            data = pickle.dumps(Graph(unit, names, least).__dict__ if build else (names, unit), protocol=5)
-            yield pa.RecordBatch.from_arrays([group.column("dim")[:1].combine_chunks(), group.column("part")[:1].combine_chunks(), pa.array([data], pa.binary())], ["dim", "part", "data"])
+        for group in groups(batches, ["dim", "cell", "shard"]):
+            graph = Graph(_matrix(group.column("embedding").combine_chunks()), group.column("vec_id").to_numpy(), least)
+            head = [group.column(c)[:1].combine_chunks() for c in ("dim", "cell", "shard")]
+            yield pa.RecordBatch.from_arrays([*head, pa.array([pickle.dumps(graph.__dict__, protocol=5)], pa.binary())], ["dim", "cell", "shard", "data"])
 
     return task
 
 
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted so that a shard's graph comes before the blocks searched in it.
+def _blocks(pivots: dict[int, Pivots], least: float):
+    """A task over vectors sorted by block: the cells that a block must be searched in, and its vectors."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, ["dim", "cell", "block"]):
+            unit, dim = _matrix(group.column("embedding").combine_chunks()), group.column("dim")[0].as_py()
+            open_ = pivots[dim].open(unit, least) if dim in pivots else np.ones((len(unit), 1), bool)
+            data = pickle.dumps((group.column("vec_id").to_numpy(), unit, open_), protocol=5)
+            cells = pa.array([np.flatnonzero(open_.any(0)).tolist()], pa.list_(pa.int32()))
+            head = [group.column(c)[:1].combine_chunks() for c in ("dim", "block")]
+            yield pa.RecordBatch.from_arrays([*head, cells, pa.array([data], pa.binary())], ["dim", "block", "cells", "data"])
+
+    return task
 
-    A rare length does not reach every shard; its blocks find nothing where there is no graph.
-    """
-    graph = own = None
+
+class Pivots:
+    """Vectors far apart, and the ranges of their distances to the vectors nearest to each."""
+
+    def __init__(self, vectors: np.ndarray):
+        self.vectors = vectors
+        self.low = np.full((len(vectors), len(vectors)), np.inf)
+        self.high = np.full((len(vectors), len(vectors)), -np.inf)
+
+    def distances(self, unit: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(2 - 2 * (unit @ self.vectors.T), 0))
+
+    def open(self, unit: np.ndarray, least: float) -> np.ndarray:
+        """Whether each cell may hold a link of each vector, by every pivot's range."""
+        far, away = math.sqrt(2 - 2 * least) + 1e-6, self.distances(unit)
+        out = np.ones(away.shape, bool)
+        for k in range(away.shape[1]):
+            out &= (away[:, k : k + 1] - self.high[k] <= far) & (self.low[k] - away[:, k : k + 1] <= far)
+        return out
+
+
+def _placed(pivots: dict[int, Pivots]):
+    """A task that gives the nearest pivot of each vector, its cell."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, dims = np.zeros(batch.num_rows, np.int32), batch.column("dim").to_numpy()
+            for dim in set(dims.tolist()) & pivots.keys():
+                rows = np.flatnonzero(dims == dim)
+                cell[rows] = pivots[dim].distances(_matrix(batch.column("embedding").take(pa.array(rows)))).argmin(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], [*batch.schema.names, "cell"])
+
+    return task
+
+
+def _ranges(pivots: dict[int, Pivots]):
+    """A task that gives the range of its vectors of each cell to every pivot."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, cells, out = batch.column("dim").to_numpy(), batch.column("cell").to_numpy(), []
+            for dim in set(dims.tolist()) & pivots.keys():
+                rows = np.flatnonzero(dims == dim)
+                away = pivots[dim].distances(_matrix(batch.column("embedding").take(pa.array(rows))))
+                for cell in np.unique(cells[rows]).tolist():
+                    part = away[cells[rows] == cell]
+                    out += [(dim, cell, k, lo, hi) for k, (lo, hi) in enumerate(zip(part.min(0).tolist(), part.max(0).tolist()))]
+            columns = list(zip(*out)) if out else [[]] * 5
+            types = [pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["dim", "cell", "pivot", "low", "high"])
+
+    return task
+
+
+def chosen_pivots(full: DataFrame, many: int, most: int) -> dict[int, Pivots]:
+    """Up to ``most`` pivots of each length in a sample of about SAMPLE vectors; a rarer length has one cell."""
+    draw = F.pmod(F.xxhash64("vec_id", F.lit(4)), F.lit(1 << 30))
+    sample = full.where(draw < min(1.0, SAMPLE / max(1, many)) * (1 << 30)).select("dim", "vec_id", "embedding").collect() if most > 1 else []
+    out = {}
+    for dim in {r.dim for r in sample}:
+        unit = _unit([r.embedding for r in sorted(sample, key=lambda r: r.vec_id) if r.dim == dim])
+        picked, near = [0], unit @ unit[0]
+        while len(picked) < min(most, len(unit)) and near.min() < 1 - 1e-9:
+            picked.append(int(near.argmin()))
+            near = np.maximum(near, unit @ unit[picked[-1]])
+        out[dim] = Pivots(unit[picked])
+    return out
+
+
+def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted so that a shard's graph comes before the blocks searched in it."""
+    graph, audited = None, False
     for batch in batches:
         for k in range(batch.num_rows):
-            key = tuple(batch.column(c)[k].as_py() for c in ("dim", "shard", "lane"))
-            if batch.column("is_block")[k].as_py() and key != own:
-                continue
             data = pickle.loads(batch.column("data")[k].as_buffer())
             if not batch.column("is_block")[k].as_py():
-                own, graph = key, Graph.__new__(Graph)
+                graph, audited = Graph.__new__(Graph), False
                 graph.__dict__ = data
                 a, b = graph.balls() if batch.column("lane")[k].as_py() == 0 else (np.empty(0, np.int64),) * 2
                 names = count = np.empty(0, np.int64)
             else:
-                names, unit = data
+                names, unit, open_ = data
+                rows = open_[:, batch.column("cell")[k].as_py()]
+                names, unit = names[rows], unit[rows]
+                if not audited:
+                    graph.audit_sample(unit)
+                    audited = True
                 count, a, b = graph.links_of(unit, names)
                 found = count > 0
                 names, count = names[found], count[found]
@@ -408,19 +506,31 @@ def linked(embeddings: DataFrame, spark: SparkSession, least: float = 0.9, shard
     vectors = stored(vectors.withColumn("dim", F.size("embedding")), spark)
     full = vectors.where("embedding is not null")
     many, size = full.agg(F.count("*"), F.coalesce(F.sum("dim"), F.lit(0)) * 8).first()
-    shards, blocks = max(1, -(-size // shard_bytes)), max(1, -(-many // BLOCK_ROWS))
-    lanes = max(-(-blocks // LANE_BLOCKS), min(blocks, -(-2 * spark.sparkContext.defaultParallelism // shards)))
-
-    def parts(n: int, seed: int, build: bool) -> DataFrame:
-        dealt = full.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int"))
-        dealt = dealt.repartition("dim", "part").sortWithinPartitions("dim", "part")
-        return dealt.mapInArrow(_packed(build, least), "dim int, part int, data binary")
-
-    graphs = stored(parts(shards, 1, True), spark).withColumnRenamed("part", "shard")
+    shards = max(1, -(-size // shard_bytes))
+    pivots = chosen_pivots(full, many, min(PIVOTS, shards))
+    cells = stored(full.mapInArrow(_placed(pivots), "vec_id bigint, embedding array<double>, dim int, cell int"), spark)
+    if pivots:
+        ranges = cells.mapInArrow(_ranges(pivots), "dim int, cell int, pivot int, low double, high double").groupBy("dim", "cell", "pivot")
+        for r in ranges.agg(F.min("low").alias("low"), F.max("high").alias("high")).collect():
+            pivots[r.dim].low[r.pivot, r.cell], pivots[r.dim].high[r.pivot, r.cell] = r.low, r.high
+    # a row for each cell: PIVOTS of them, and one for each rare length
+    n = F.count("*")
+    sizes = stored(cells.groupBy("dim", "cell").agg(F.ceil(n * F.col("dim") * 8 / shard_bytes).cast("int").alias("shards"), F.ceil(n / BLOCK_ROWS).cast("int").alias("blocks")), spark)
+    dealt = lambda seed, parts: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.col(parts)).cast("int")
+    placed = cells.join(sizes, ["dim", "cell"]).withColumn("shard", dealt(1, "shards")).withColumn("block", dealt(2, "blocks"))
+    keys = ["dim", "cell", "shard"]
+    graphs = placed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_built(least), "dim int, cell int, shard int, data binary")
+    graphs = stored(graphs, spark)
+    blocks = placed.repartition("dim", "cell", "block").sortWithinPartitions("dim", "cell", "block")
+    blocks = stored(blocks.mapInArrow(_blocks(pivots, least), "dim int, block int, cells array<int>, data binary"), spark)
+    n_graphs, n_blocks = max(1, graphs.count()), blocks.count()
+    lanes = max(1, -(-n_blocks // LANE_BLOCKS), min(n_blocks, -(-2 * spark.sparkContext.defaultParallelism // n_graphs)))
     graphs = graphs.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))).withColumn("is_block", F.lit(False))
-    queries = parts(blocks, 2, False).withColumn("lane", F.col("part") % lanes).drop("part")
-    queries = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("is_block", F.lit(True))
-    keys = ["dim", "shard", "lane"]
+    queries = blocks.withColumn("lane", F.pmod(F.xxhash64("data"), F.lit(lanes)).cast("int")).withColumn("cell", F.explode("cells"))
+    queries = queries.join(sizes, ["dim", "cell"]).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).withColumn("is_block", F.lit(True))
+    # a shard that the hash left empty has no graph
+    queries = queries.join(graphs.select(*keys).distinct(), keys, "left_semi")
+    keys = [*keys, "lane"]
     both = graphs.select(*keys, "is_block", "data").union(queries.select(*keys, "is_block", "data"))
     found = stored(both.repartition(*keys).sortWithinPartitions(*keys, "is_block").mapInArrow(_search, "vec_id bigint, links bigint, b bigint"), spark)
     names = components(found.where("b is not null").select(F.col("vec_id").alias("a"), "b"), spark).withColumnRenamed("id", "vec_id")

@@ -90,3 +90,31 @@ def test_rare_lengths_do_not_reach_every_shard(spark):
     assert got.keys() == want.keys() and all(got[k][0] <= want[k][0] for k in want)
     assert all(got[k] == want[k] for k in want if not 3 <= k < 603)
     assert sum(got[k] == want[k] for k in want) >= 0.99 * len(want)
+
+
+def test_clustered_input_skips_shards_and_loses_no_link(spark):
+    rng = np.random.default_rng(7)
+    centres = rng.standard_normal((12, 16))
+    x = centres[rng.integers(0, 12, 1800)] + 0.12 * rng.standard_normal((1800, 16))
+    unit = hnsw._unit(x.tolist())
+    pivots = hnsw.Pivots(unit[[int(np.argmin(np.linalg.norm(x - c, axis=1))) for c in centres]])
+    own = pivots.distances(unit).argmin(1)
+    for k in range(12):
+        away = pivots.distances(unit[own == k])
+        pivots.low[:, k], pivots.high[:, k] = away.min(0), away.max(0)
+    open_ = pivots.open(unit, 0.9)
+    near = unit @ unit.T >= 0.9
+    assert open_.mean() < 0.4 and all(open_[k, own[near[k]]].all() for k in range(len(unit)))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in hnsw.linked(df, spark, shard_bytes=200 * 16 * 8).collect()}
+    want = brute(np.arange(1800), unit)
+    assert sum(got[k] == want[k] for k in want) >= 0.99 * len(want)
+
+
+def test_lengths_that_do_not_reach_each_shard(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, rng.standard_normal(8).tolist()) for k in range(600)] + [(1000 + k, [1.0, 2.0, k / 1000]) for k in range(3)] + [(2000, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in hnsw.linked(df, spark, shard_bytes=100 * 8 * 8).collect()}
+    assert all(got[1000 + k] == (2, 1000) for k in range(3)) and got[2000] == (0, 2000)
+    assert len(got) == 604
