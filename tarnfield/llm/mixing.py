@@ -9,35 +9,37 @@ seeded order, up to the words still missing.
 
 Defined results: a null or empty text has size 0 and is taken 0 times its size;
 null is a source of its own; ids may be null or repeat: every row is mixed on its
-own, and equal rows are told apart only by their order, so that a rerun gives
-the same rows; an empty table gives an empty result; other columns are ignored.
+own, in an order by id, size and text, so that a rerun gives the same rows; an empty
+table gives an empty result; other columns are ignored, and kept by ``repeated``,
+whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnfield.llm.common import salted_join, stored
+from tarnfield.llm.common import packed, salted_join, stored
 from tarnfield.sources import read_table
 
 SEED = "mix-1"
 
 
-def sized(documents: DataFrame) -> DataFrame:
-    """Size in words and place in the seeded order of every row."""
+def sized(documents: DataFrame, number: Column) -> DataFrame:
+    """Size in words and place in the seeded order of every row; ``nr`` is ``number``, null if rows need no name."""
     return documents.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.col("source").isNull().alias("last"),
         F.coalesce("source", F.lit("")).alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint").alias("size"),
-        F.xxhash64("doc_id", "text", "source").alias("row_key"),
+        number.alias("nr"),
         F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("place"),
+        F.xxhash64("text").alias("tie"),
     )
 
 
-def _prefix(rows: DataFrame, spark: SparkSession, keys: list[str], order: list[str], value: str) -> DataFrame:
-    """Running sum of ``value`` within ``keys``, the row itself left out, as ``before``.
+def _prefix(rows: DataFrame, spark: SparkSession, keys: list[str], order: list[str], values: dict[str, str]) -> DataFrame:
+    """Running sums within ``keys``, the row itself left out; ``values`` gives the name of each column's.
 
     Rows are range-partitioned by keys and order, so a hot key spans many
     partitions. Each partition sums its own part; the sums of the partitions
@@ -46,47 +48,39 @@ def _prefix(rows: DataFrame, spark: SparkSession, keys: list[str], order: list[s
     ranged = rows.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id())
     ranged = stored(ranged, spark)
     own = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    parts = ranged.groupBy("_part", *keys).agg(F.sum(value).alias("_sum"))
+    parts = ranged.groupBy("_part", *keys).agg(*(F.sum(c).alias(f"_sum_{c}") for c in values))
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("_part", *keys, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_earlier"))
-    within = ranged.withColumn("before", F.coalesce(F.sum(value).over(own), F.lit(0)))
-    return within.join(parts, ["_part", *keys]).withColumn("before", F.col("before") + F.col("_earlier")).drop("_part", "_earlier")
+    parts = parts.select("_part", *keys, *(F.coalesce(F.sum(f"_sum_{c}").over(earlier), F.lit(0)).alias(f"_earlier_{c}") for c in values))
+    within = ranged.withColumns({name: F.coalesce(F.sum(c).over(own), F.lit(0)) for c, name in values.items()})
+    joined = within.join(parts, ["_part", *keys])
+    return joined.withColumns({name: F.col(name) + F.col(f"_earlier_{c}") for c, name in values.items()}).drop("_part", *(f"_earlier_{c}" for c in values))
 
 
 def targets(sources: DataFrame, spark: SparkSession, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3) -> DataFrame:
     """Targets for ``sources(last, source, size)``, one row each, by water-filling.
 
-    Every round is one aggregate over the sources still open; four numbers come
-    to the driver. A round clamps at least one source or is the last.
+    Sources by rising cap per weight are clamped one after the other. With those before
+    it clamped, a source leaves a level for itself and the rest; the first one whose cap
+    lies at its level or above ends that, and its level is the water's. So running sums
+    of caps and weights give it at once, and one row comes to the driver.
     """
-    ranked = _prefix(sources.withColumn("_one", F.lit(1).cast("bigint")), spark, [], ["last", "source"], "_one")
+    ranked = _prefix(sources.withColumn("_one", F.lit(1).cast("bigint")), spark, [], ["last", "source"], {"_one": "before"})
     turn = F.pmod(F.col("before"), F.lit(len(weights))).cast("int")
     weight = F.element_at(F.array(*(F.lit(w).cast("bigint") for w in weights)), turn + 1)
-    ranked = stored(ranked.select("last", "source", "size", weight.alias("weight"), (F.col("size") * max_epochs).alias("cap")), spark)
-    total = ranked.agg(F.sum("size")).first()[0] or 0
-    level = float("inf")
-    while True:
-        # a source is clamped for good once its cap lies under the level
-        clamped = F.col("cap").cast("double") < F.lit(level) * F.col("weight") if level < float("inf") else F.lit(False)
-        left, weight_left, n_clamped = ranked.agg(
-            F.sum(F.when(clamped, F.col("cap")).otherwise(0)),
-            F.sum(F.when(clamped, 0).otherwise(F.col("weight"))),
-            F.count_if(clamped),
-        ).first()
-        if not weight_left:
-            break
-        fresh = float(total - left) / float(weight_left)
-        if level < float("inf") and n_clamped == was:
-            break
-        level, was = fresh, n_clamped if level < float("inf") else -1
-    share = F.lit(level) * F.col("weight") if level < float("inf") else F.col("cap").cast("double")
-    return ranked.withColumn("target", F.least(F.col("cap").cast("double"), share))
-
-
-def mixed(documents: DataFrame, spark: SparkSession, **options) -> DataFrame:
+    cap = F.col("size") * max_epochs
+    ranked = ranked.select("last", "source", "size", weight.alias("weight"), cap.alias("cap"), (cap.cast("double") / weight).alias("reach"))
+    summed = _prefix(ranked, spark, [], ["reach", "last", "source"], {"cap": "clamped", "weight": "passed"})
+    total, weights_all = summed.agg(F.sum("size"), F.sum("weight")).first()
+    level = (F.lit(total) - F.col("clamped")).cast("double") / (F.lit(weights_all) - F.col("passed")).cast("double")
+    first = summed.where(F.col("reach") >= level).agg(F.min(F.struct("reach", "last", "source", level.alias("level"))).alias("row")).first().row
+    share = F.lit(first.level) * F.col("weight") if first else F.col("cap").cast("double")
+    return summed.withColumn("target", F.least(F.col("cap").cast("double"), share))
+
+
+def mixed(documents: DataFrame, spark: SparkSession, number: Column | None = None, **options) -> DataFrame:
     """How often each row is taken: ``copies``, with its size and its source's target."""
-    rows = stored(sized(documents), spark)
-    summed = _prefix(rows, spark, ["last", "source"], ["place", "size", "doc_id"], "size")
+    rows = stored(sized(documents, F.lit(None).cast("bigint") if number is None else number), spark)
+    summed = _prefix(rows, spark, ["last", "source"], ["place", "size", "doc_id", "tie"], {"size": "before"})
     sources = rows.groupBy("last", "source").agg(F.sum("size").alias("size"))
     goals = targets(sources, spark, **options).select("last", "source", F.col("size").alias("source_size"), "target")
     joined = salted_join(summed, goals, ["last", "source"], F.col("place"))
@@ -98,14 +92,11 @@ def mixed(documents: DataFrame, spark: SparkSession, **options) -> DataFrame:
 
 
 def repeated(documents: DataFrame, spark: SparkSession, **options) -> DataFrame:
-    """The mix itself: rows of ``documents``, each as often as it is taken.
-
-    Rows equal in id, text and source are taken together.
-    """
-    taken = mixed(documents, spark, **options).groupBy("row_key").agg(F.sum("copies").alias("_copies")).where("_copies > 0")
-    keyed = documents.withColumn("_key", F.xxhash64("doc_id", "text", "source")).join(taken.withColumnRenamed("row_key", "_key"), "_key")
-    once = keyed.dropDuplicates(["_key"])
-    return once.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))).select(*documents.columns)
+    """The mix itself: rows of ``documents``, each as often as it is taken."""
+    docs = packed(documents, spark)
+    taken = mixed(docs.select("nr", "doc.doc_id", "doc.text", "doc.source"), spark, F.col("nr"), **options).where("copies > 0").select("nr", "copies")
+    times = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))
+    return docs.join(taken, "nr").select("doc", times.alias("nth")).select("doc.*")
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

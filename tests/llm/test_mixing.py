@@ -73,3 +73,25 @@ def test_matches_sql(spark):
 def test_no_python_in_plan(spark):
     plan = mixing.op5_source_mix(spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_rows_that_differ_only_in_what_is_null_are_taken_for_themselves(spark):
+    rows = [(1, "a b", None), (1, None, "a b"), (1, "a b", None), (2, "c d e", "x")]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id bigint, text string, source string, _key int")
+    copies = mixing.mixed(df, spark).collect()
+    got = Counter(r[3] for r in mixing.repeated(df, spark).collect())
+    assert 1 not in got and sum(got.values()) == sum(r.copies for r in copies if r.size)
+    assert sum(got[k] for k in (0, 2)) == sum(r.copies for r in copies if r.size == 2)
+
+
+def test_targets_take_as_many_jobs_for_many_sources(spark):
+    jobs = []
+    for n in (3, 60):
+        df = spark.createDataFrame([(f"s{k:02}", False, 10 ** (k % 5)) for k in range(n)], "source string, last boolean, size bigint")
+        spark.sparkContext.setJobGroup(f"targets {n}", "")
+        got = {r.source: r.target for r in mixing.targets(df, spark).collect()}
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"targets {n}")))
+        want = filled({f"s{k:02}": 10 ** (k % 5) for k in range(n)})
+        assert all(got[s] == pytest.approx(float(want[s]), rel=1e-12) for s in want)
+    spark.sparkContext.setJobGroup("", "")
+    assert abs(jobs[0] - jobs[1]) <= 2
