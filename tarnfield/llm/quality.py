@@ -22,10 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfield.llm.common import salted_join, slices, stored, utf8, windows, words
+from tarnfield.llm.common import packed, salted_join, slices, stored, utf8, windows, words
 from tarnfield.llm.common import span_hashes
 from tarnfield.sources import read_table
 
@@ -103,11 +103,11 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def with_row_key(documents: DataFrame) -> DataFrame:
-    """``doc_id``, ``text``, host, and hashes that name the row and its text."""
+def with_row_key(documents: DataFrame, number: Column | None = None) -> DataFrame:
+    """``doc_id``, ``text``, host, the number of the row, and a hash that names its text."""
     return documents.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
-        F.xxhash64("doc_id", F.coalesce("text", F.lit("")), "source").alias("row_key"),
+        (F.monotonically_increasing_id() if number is None else number).alias("row_key"),
         F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"),
         F.coalesce("source", F.lit("")).alias("host"),
         F.col("text"),
@@ -117,6 +117,7 @@ def with_row_key(documents: DataFrame) -> DataFrame:
 def judge(
     documents: DataFrame,
     spark: SparkSession,
+    number: Column | None = None,
     min_docs: int = 20,
     host_share: float = 0.1,
     left_share: float = 0.3,
@@ -126,10 +127,10 @@ def judge(
 ) -> DataFrame:
     """Counts and verdict of each row of ``documents(doc_id, text, source)``.
 
-    Adds ``row_key``, ``removed_lines`` (hashes of normalised lines above the
+    Adds ``row_key`` (``number``, if given), ``removed_lines`` (hashes of normalised lines above the
     limit, null if none) and ``removed_words``.
     """
-    measured = stored(with_row_key(documents).mapInArrow(_measure, MEASURED), spark)
+    measured = stored(with_row_key(documents, number).mapInArrow(_measure, MEASURED), spark)
     of_line = measured.select("row_key", "text_key", "host", F.explode("lines").alias("l")).select("row_key", "text_key", "host", "l.*")
     hosts = measured.groupBy("host").agg(F.count_distinct("text_key").alias("host_docs"))
     often = of_line.groupBy("host", "line").agg(F.count_distinct("text_key").alias("docs"), F.max("length").alias("length"))
@@ -160,22 +161,21 @@ def judge(
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        at, lines = batch.schema.get_field_index("text"), batch.column("removed_lines").to_pylist()
         texts = batch.column("text").to_pylist()
-        for k, cut in enumerate(lines):
+        for k, cut in enumerate(batch.column("removed_lines").to_pylist()):
             if cut:
                 gone = set(cut)
                 texts[k] = "\n".join(x for x in texts[k].split("\n") if line_key(x) not in gone)
-        kept = [c for c in batch.schema.names if c != "removed_lines"]
-        batch = batch.set_column(at, "text", pa.array(texts, batch.schema.field(at).type))
-        yield batch.select(kept)
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(texts, pa.string())], ["doc", "left"])
 
 
 def filtered(documents: DataFrame, spark: SparkSession, **limits) -> DataFrame:
     """The rows of ``documents`` that pass, all their columns, without lines above the limit."""
-    verdict = judge(documents, spark, **limits).where("kept").groupBy("row_key").agg(F.first("removed_lines").alias("removed_lines"))
-    keyed = documents.withColumn("row_key", F.xxhash64("doc_id", F.coalesce("text", F.lit("")), "source"))
-    return keyed.join(verdict, "row_key").drop("row_key").mapInArrow(_without, documents.schema)
+    docs = packed(documents, spark)
+    verdict = judge(docs.select("nr", "doc.doc_id", "doc.text", "doc.source"), spark, F.col("nr"), **limits)
+    kept = docs.join(verdict.where("kept").select(F.col("row_key").alias("nr"), "removed_lines"), "nr")
+    left = kept.select("doc", "doc.text", "removed_lines").mapInArrow(_without, docs.select("doc", F.lit("").alias("left")).schema)
+    return left.select(F.col("doc").withField("text", F.col("left")).alias("doc")).select("doc.*")
 
 
 def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,8 +185,7 @@ def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: The same over tables whose ids are unique, by the share of the host alone: equal where
-#: no line that is in a smaller share reaches ``short_docs`` or ``long_docs``.
+#: The same over tables whose ids are unique.
 SQL = """
 with d as (
   select doc_id, coalesce(source, '') as host, coalesce(text, '') as t,
@@ -203,8 +202,8 @@ lines as (
 dups as (select doc_id, sum(c - 1) as n from (select doc_id, l, count(*) as c from lines group by doc_id, l) group by doc_id),
 hosts as (select host, count(distinct t) as n from d group by host),
 above as (
-  select host, norm from (select host, norm, count(distinct t) as c from lines group by host, norm) join hosts using (host)
-  where c >= 20 and c > 0.1 * n),
+  select host, norm from (select host, norm, count(distinct t) as c, max(n) as words from lines group by host, norm) join hosts using (host)
+  where c >= case when words >= 50 then 20 else 100 end or c >= 20 and c > 0.1 * n),
 removed as (select doc_id, sum(n) as n from lines join above using (host, norm) group by doc_id),
 m as (
   select d.doc_id, len(ws)::bigint as n_words, len(array_to_string(ws, ''))::bigint as word_chars,

@@ -1,6 +1,7 @@
 import re
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +89,20 @@ def test_lines_in_a_small_share_of_a_large_host_go_by_count(spark):
     rows = [(k, "\n".join([*lines(k), body(k), body(k + 2000)]), "a", "x") for k in range(1300)]
     got = {r.doc_id: r for r in quality.judge(frame(spark, rows), spark).collect()}
     assert all(got[k].removed_words == (9 if k < 100 else 60 if k < 120 else 0) for k in range(1300))
+
+
+def test_each_limit_decides_in_query_and_sql(spark):
+    short, other = "All rights reserved by the owner of this page", "Sign up to hear more"
+    passage = " ".join(f"passage{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    unlike = lambda k: " ".join(f"b{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}{chr(97 + j)}" for j in range(26))
+    lines = lambda k: [short] * (k < 100) + [passage] * (100 <= k < 120) + ["A line in 99 texts"] * (200 <= k < 299)
+    rows = [(k, "\n".join([*lines(k), unlike(k), unlike(k + 2000)]), "large") for k in range(1300)]
+    rows += [(5000 + k, "\n".join([other] * (k < 25) + [unlike(k + 4000)]), "small") for k in range(100)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    columns = ["doc_id", *COLUMNS, "kept", "removed_words"]
+    got = Counter(map(tuple, quality.judge(frame, spark).select(*columns).collect()))
+    db = duckdb.connect()
+    db.register("documents", frame.toPandas())
+    assert got == Counter(db.sql(quality.SQL).project(", ".join(columns)).fetchall())
+    removed = {r[0]: r[-1] for r in got}
+    assert [removed[k] for k in (0, 100, 250, 5000, 5099)] == [9, 60, 0, 5, 0]
