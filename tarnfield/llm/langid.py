@@ -5,7 +5,9 @@ BUCKETS) and the scripts of words for each language, over a seeded sample of abo
 SAMPLE labelled documents a language. A word's score for a language is the sum of
 the log probabilities of its groups, divided by the number of groups that overlap
 a letter. The script of a word narrows its candidates: a language competes only
-where at least SCRIPT_SHARE of its training words have that script.
+where at least SCRIPT_SHARE of its training words have that script. In a script that
+none has, all compete, by their share of the training words alone, which is so weak that
+the words beside decide where there are any.
 
 In a text, the best sequence of languages is found over its words with a penalty for
 each switch; runs of equal language are the spans. The text's language is the one
@@ -13,8 +15,7 @@ with most letters in it, and the score its share of the letters.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, as is
 every text when nothing is learned; a document with null language is not learned
-from; words in a script that no language has are left out of the vote unless all
-are, which gives ``und``; ties go to the language first in order; repeated rows and
+from; ties go to the language first in order; repeated rows and
 null ids come back row by row; an empty table gives an empty result; other columns
 are ignored.
 """
@@ -166,9 +167,11 @@ class Model:
         groups, scripts = counts[:, :BUCKETS].astype(np.float64), counts[:, BUCKETS:]
         self.log = np.log((groups + 0.1) / (groups.sum(1, keepdims=True) + 0.1 * BUCKETS)).astype(np.float32).T.copy()
         self.allowed = scripts >= SCRIPT_SHARE * np.maximum(1, scripts.sum(1, keepdims=True))
+        self.foreign = ~self.allowed.any(0)
+        self.share = np.log((scripts.sum(1) + 1) / (scripts.sum() + len(langs))).astype(np.float32)
 
     def scores(self, words: Words) -> np.ndarray:
-        """Log probabilities of each language for each distinct word, best 0; NaN if none has the script."""
+        """Log probabilities of each language for each distinct word, best 0."""
         total = np.zeros((len(words.first), len(self.langs)), np.float32)
         for bucket, at in words.groups():
             part = np.zeros((len(words.letters), len(self.langs)), np.float32)
@@ -176,8 +179,8 @@ class Model:
             if len(words.first):
                 total += np.add.reduceat(part, words.first, 0)
         total = np.where(self.allowed.T[words.script], total / 2.5, -np.inf)  # a letter is in about 2.5 groups
-        with np.errstate(invalid="ignore"):
-            return np.maximum(total - total.max(1, keepdims=True, initial=-np.inf), -MOST)
+        total = np.where(self.foreign[words.script][:, None], self.share, total)
+        return np.maximum(total - total.max(1, keepdims=True, initial=-np.inf), -MOST)
 
 
 def trained(documents: DataFrame, spark: SparkSession, sample: int = SAMPLE) -> Model:
@@ -243,10 +246,8 @@ def _judged(texts: list[str | None], model: Model) -> tuple[list[str], list[floa
         return ["und"] * n, [0.0] * n, [""] * n
     words = Words(texts)
     scores = model.scores(words)
-    known = ~np.isnan(scores).any(1)[words.word] if len(words.word) else np.zeros(0, bool)
-    bounds = np.concatenate([[0], np.cumsum(known)])[words.bounds]
-    start, end = words.start[known], words.end[known]
-    path = viterbi(scores[words.word[known]], bounds)
+    bounds, start, end = words.bounds, words.start, words.end
+    path = viterbi(scores[words.word], bounds)
     votes = np.zeros((n, len(model.langs)))
     np.add.at(votes, (np.repeat(np.arange(n), np.diff(bounds)), path), end - start)
     best, total = votes.argmax(1), votes.sum(1)

@@ -52,7 +52,7 @@ def test_spans_scripts_and_odd_texts(spark):
     got = langid.labelled(df, model).collect()
     assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
     by = {r.doc_id: r for r in got if r.doc_id not in (None, 1)}
-    assert [by[k].lang_pred for k in (0, 2, 3, 10)] == ["und"] * 4 and by[0].score == 0
+    assert [by[k].lang_pred for k in (0, 2, 10)] == ["und"] * 3 and by[0].score == 0 and by[3].lang_pred in TEXTS
     assert by[4].lang_pred == "en" and by[5].lang_pred == "el" and by[8].lang_pred == "en"
     en, ru = len(TEXTS["en"]), len(TEXTS["ru"])
     assert by[6].spans == f"en:0:{en},ru:{en + 2}:{en + 2 + ru},de:{en + ru + 4}:{len(mixed)}"
@@ -63,3 +63,14 @@ def test_nothing_learned(spark):
     df = spark.createDataFrame([(1, "some text", None)], "doc_id bigint, text string, lang string")
     model = langid.trained(df, spark)
     assert [(r.lang_pred, r.score) for r in langid.labelled(df, model).collect()] == [("und", 0.0)]
+
+
+def test_scripts_that_no_language_has_get_a_learned_language(spark):
+    train = spark.createDataFrame([(k, TEXTS[lang], lang) for k, lang in enumerate(["en", "de"])], "doc_id bigint, text string, lang string")
+    model = langid.trained(train, spark)
+    thai, cyrillic, greek = "\u0e2a\u0e27\u0e31\u0e2a\u0e14\u0e35 \u0e04\u0e23\u0e31\u0e1a", "\u043f\u0440\u0438\u0432\u0435\u0442 \u043c\u0438\u0440", "\u03ba\u03b1\u03bb"
+    texts = [thai, cyrillic, greek, f"{thai} {TEXTS['de']} {cyrillic}", "12 34", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in langid.labelled(df, model).collect()}
+    assert all(got[k].lang_pred in ("en", "de") and 0 < got[k].score <= 1 for k in range(4)) and got[3].lang_pred == "de"
+    assert [got[k].lang_pred for k in (4, 5)] == ["und", "und"]
