@@ -30,18 +30,16 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfield.llm.common import salted_join, slices, stored
+from tarnfield.llm.common import packed, salted_join, slices, stored
 from tarnfield.llm.langid import Words
 from tarnfield.sources import read_table
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Words before and after an entity that ``terms`` gives, and the letters they are sought in.
-NEAR, REACH = 10, 400
 SHARE, SUPPORT = 0.8, 2
-FILTER = 1 << 20
+FILTER = 1 << 23
 #: Pairs of entity and word that a task gives out at once.
 PAIRS = 50_000
 #: Distinct words that a task counts before it gives the counts out.
@@ -117,26 +115,6 @@ def words_outside(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tupl
             yield _plain(m[0]), m.start(), m.end()
 
 
-def terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, str, int, int]]:
-    """(entity, word, start, end) of the words near each span, outside all spans."""
-    starts, ends = [a for a, _, _ in spans], list(accumulate((b for _, _, b in spans), max))
-    out = []
-    for a, kind, b in spans:
-        name = entity(text, a, kind, b)
-        low = max(0, a - REACH)
-        before = [(m.start() + low, m.end() + low) for m in WORD.finditer(text[low:a])]
-        if low and before and before[0][0] == low:
-            before = before[1:]  # cut off by the reach
-        after = [(m.start() + b, m.end() + b) for m in WORD.finditer(text[b : b + REACH])]
-        if after and after[-1][1] == b + REACH:
-            after = after[:-1]
-        for x, y in before[-NEAR:] + after[:NEAR]:
-            opened = bisect_left(starts, y)
-            if not opened or ends[opened - 1] <= x:
-                out.append((name, _plain(text[x:y]), x, y))
-    return out
-
-
 _SPANS = "array<struct<start:bigint,kind:int,end:bigint>>"
 #: ``text`` is kept where there are entities.
 FOUND = f"doc_id bigint, row_key bigint, text_key bigint, base {_SPANS}, entities array<bigint>, text string"
@@ -191,9 +169,10 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _document_counts(wanted: np.ndarray):
-    """A task that counts the documents that hold each word that may be wanted.
+    """A task that counts the rows that hold each word that may be wanted, each row ``times`` times.
 
-    Counts are summed over the task, and given out when there are HELD words.
+    ``wanted`` has a bit for each bucket. Counts are summed over the task, and given out
+    when there are HELD words.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,11 +180,14 @@ def _document_counts(wanted: np.ndarray):
         for whole in batches:
             for batch in slices(whole, 0):
                 words = Words(batch.column(0).to_pylist())
-                pick = wanted[words.name & np.uint64(FILTER - 1)]
+                bucket = words.name & np.uint64(FILTER - 1)
+                pick = (wanted[bucket >> np.uint64(3)] << (bucket & np.uint64(7)).astype(np.uint8) & 0x80).astype(bool)
                 row = np.repeat(np.arange(batch.num_rows), np.diff(words.bounds))
                 some = pick[words.word]
-                once = np.unique(row[some] * np.int64(len(words.first) + 1) + words.word[some])
-                times = np.bincount(once % (len(words.first) + 1), minlength=len(words.first))
+                size = np.int64(len(words.first) + 1)
+                once = np.unique(row[some] * size + words.word[some])
+                times = np.zeros(len(words.first), np.int64)
+                np.add.at(times, once % size, batch.column(1).to_numpy()[once // size])
                 for k in np.flatnonzero(times).tolist():
                     word = words.text(k)
                     held[word] = held.get(word, 0) + int(times[k])
@@ -221,6 +203,23 @@ def _counts(held: dict[str, int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["word", "docs"])
 
 
+def word_counts(rows: DataFrame, spark: SparkSession, bits: np.ndarray) -> tuple[DataFrame, int]:
+    """``word, docs``: the distinct texts of ``rows(text_key, text)`` that hold each word, and their number.
+
+    All rows are counted where they are read; then the surplus copies of a text, which
+    alone are moved, are taken off again.
+    """
+    texts = rows.where("text is not null")
+    copied = stored(texts.groupBy("text_key").agg((F.count("*") - 1).alias("surplus")).where("surplus > 0"), spark)
+    total = texts.count() - (copied.agg(F.sum("surplus")).first()[0] or 0)
+    once = texts.join(copied.select("text_key"), "text_key").groupBy("text_key").agg(F.first("text").alias("text"))
+    surplus = once.join(copied, "text_key").select("text", (-F.col("surplus")).alias("times"))
+    task = _document_counts(bits)
+    every = texts.select("text", F.lit(1).cast("bigint").alias("times")).mapInArrow(task, "word string, docs bigint")
+    held = every.union(surplus.mapInArrow(task, "word string, docs bigint"))
+    return held.groupBy("word").agg(F.sum("docs").alias("docs")), total
+
+
 def revealing(each: DataFrame, holding: DataFrame, texts: DataFrame, spark: SparkSession, share: float, support: int) -> DataFrame:
     """``(entity, word)`` above the disclosure threshold, by all of ``texts(text_key, text)``.
 
@@ -230,25 +229,26 @@ def revealing(each: DataFrame, holding: DataFrame, texts: DataFrame, spark: Spar
     own = salted_join(each, entities.select("entity"), ["entity"], F.col("text_key")).groupBy("text_key").agg(F.collect_set("entity").alias("own"))
     pairs = own.join(holding, "text_key").select("own", "text").mapInArrow(_pairs, "entity bigint, word string")
     together = stored(pairs.groupBy("entity", "word").agg(F.count("*").alias("both")).where(F.col("both") >= support), spark)
-    buckets = [r[0] for r in together.select("word").distinct().mapInArrow(_buckets, "bucket int").distinct().collect()]
-    if not buckets:
+    buckets = together.select("word").distinct().mapInArrow(_buckets, "bucket int").distinct().toArrow().column(0).to_numpy()
+    if not len(buckets):
         return together.select("entity", "word")
     bits = np.zeros(FILTER, bool)
     bits[buckets] = True
-    once = texts.where("text is not null").groupBy("text_key").agg(F.first("text").alias("text"))
-    held = once.select("text").mapInArrow(_document_counts(bits), "word string, docs bigint")
-    held = held.groupBy("word").agg(F.sum("docs").alias("docs"))
-    total = texts.agg(F.count_distinct("text_key")).first()[0]
+    held, total = word_counts(texts, spark, np.packbits(bits))
     joined = salted_join(salted_join(together, held, ["word"], F.col("entity")), entities, ["entity"], F.col("word"))
     content = F.log(F.lit(float(total)) / F.col("texts"))
     shared = F.log(F.col("both") * float(total) / (F.col("texts") * F.greatest("docs", "both")))
     return joined.where((content > 0) & (shared >= share * content)).select("entity", "word")
 
 
-def scanned(documents: DataFrame, spark: SparkSession, share: float = SHARE, support: int = SUPPORT) -> DataFrame:
-    """Spans of every row of ``documents(doc_id, text)``: ``base`` and ``all``, as arrays in order."""
+def scanned(documents: DataFrame, spark: SparkSession, number: Column | None = None, share: float = SHARE, support: int = SUPPORT) -> DataFrame:
+    """Spans of every row of ``documents(doc_id, text)``: ``base`` and ``all``, as arrays in order.
+
+    ``row_key`` is ``number``, if given.
+    """
     key = F.expr("if(text is null, null, xxhash64(text))").alias("text_key")
-    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key().alias("row_key"), key, "text")
+    number = F.monotonically_increasing_id() if number is None else number
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), number.alias("row_key"), key, "text")
     found = stored(rows.mapInArrow(_scan, FOUND), spark)
     with_any = found.where(F.size("entities") > 0)
     each = stored(with_any.select("text_key", F.explode("entities").alias("entity")).distinct(), spark)
@@ -261,11 +261,6 @@ def scanned(documents: DataFrame, spark: SparkSession, share: float = SHARE, sup
     return out.withColumn("all", F.expr(f"array_sort(concat(base, coalesce(added, cast(array() as {_SPANS}))))"))
 
 
-def row_key():
-    """A hash that names a row of documents by id and text."""
-    return F.xxhash64("doc_id", "text")
-
-
 def general(kind: int, found: str) -> str:
     """What stands in place of a span."""
     if kind < KINDS.index("term"):
@@ -287,20 +282,21 @@ def replaced(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def _sanitise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        at, texts = batch.schema.get_field_index("text"), batch.column("text").to_pylist()
-        for k, spans in enumerate(batch.column("_spans").to_pylist()):
+        texts = batch.column("text").to_pylist()
+        for k, spans in enumerate(batch.column("spans").to_pylist()):
             if spans and texts[k]:
                 texts[k] = replaced(texts[k], [(s["start"], s["kind"], s["end"]) for s in spans])
-        kept = [c for c in batch.schema.names if c != "_spans"]
-        yield batch.set_column(at, "text", pa.array(texts, batch.schema.field(at).type)).select(kept)
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(texts, pa.string())], ["doc", "clean"])
 
 
 def sanitised(documents: DataFrame, spark: SparkSession, **options) -> DataFrame:
     """``documents`` with general terms in place of entities and of words that reveal them."""
-    spans = scanned(documents, spark, **options).where(F.size("all") > 0).groupBy("row_key").agg(F.first("all").alias("_spans"))
-    keyed = documents.withColumn("_key", row_key())
-    joined = keyed.join(spans.withColumnRenamed("row_key", "_key"), "_key", "left").drop("_key")
-    return joined.mapInArrow(_sanitise, documents.schema)
+    docs = packed(documents, spark)
+    found = scanned(docs.select("nr", "doc.doc_id", "doc.text"), spark, F.col("nr"), **options)
+    spans = found.where(F.size("all") > 0).select(F.col("row_key").alias("nr"), F.col("all").alias("spans"))
+    marked = docs.join(spans, "nr", "left").select("doc", "doc.text", "spans")
+    clean = marked.mapInArrow(_sanitise, docs.select("doc", F.lit(None).cast("string").alias("clean")).schema)
+    return clean.select(F.col("doc").withField("text", F.col("clean")).alias("doc")).select("doc.*")
 
 
 _JOIN = "concat_ws(',', transform({}, s -> concat(element_at(array('email','ip','card','phone','term'), s.kind + 1), ':', s.start, ':', s.end)))"

@@ -1,5 +1,8 @@
 import hashlib
+import math
+import random
 import re
+from collections import Counter
 
 from tarnfield.llm import pii
 from tarnfield.sources import read_table
@@ -84,7 +87,34 @@ def test_overlapping_spans_go_together():
 def test_many_entities_in_one_text_take_linear_time():
     text = "Write to the address a@b.c or call " * 20_000
     spans = pii.base_spans(text)
-    assert len(spans) == 20_000 and len(pii.terms(text, spans)) > 200_000
+    outside = list(pii.words_outside(text, spans))
+    assert len(spans) == 20_000 and len(outside) == 120_000 and {w for w, _, _ in outside} == set("write to the address or call".split())
+
+
+def test_score_matches_plain_counts(spark):
+    """Spans of terms by the plain definition, over texts with copies, shared words and entities."""
+    rng = random.Random(3)
+    people = ["Ada ada@x.org", "Bob bob@y.org", "Cyd 10.0.0.7", "Dee dee@z.org"]
+    texts = [" ".join(rng.choice("abcdefghijklmnop") * 3 for _ in range(12)) + " " + rng.choice([*people, "", "", ""]) for _ in range(150)]
+    texts += texts[:40] + [texts[7]] * 30 + [None, ""]
+    distinct = {t for t in texts if t is not None}
+    held = {t: ({pii.entity(t, *x) for x in pii.base_spans(t)}, {w for w, _, _ in pii.words_outside(t, pii.base_spans(t))}) for t in distinct}
+    docs, of, both = Counter(), Counter(), Counter()
+    for entities, words in held.values():
+        docs.update(words)
+        of.update(entities)
+        both.update((e, w) for e in entities for w in words)
+    n = len(distinct)
+    reveal = {(e, w) for (e, w), k in both.items() if k >= 2 and of[e] >= 2 and math.log(k * n / (of[e] * docs[w])) >= 0.8 * math.log(n / of[e]) > 0}
+    assert 3 <= len(reveal) < len(both) / 4
+    want = Counter()
+    for k, t in enumerate(texts):
+        spans = pii.base_spans(t or "")
+        found = [(a, 4, b) for w, a, b in pii.words_outside(t or "", spans) if any((e, w) in reveal for e in held.get(t, ((), ()))[0])]
+        want[k, tuple(sorted(spans + found))] += 1
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    got = Counter((r.doc_id, tuple((s.start, s.kind, s.end) for s in r["all"])) for r in pii.scanned(df, spark).collect())
+    assert got == want
 
 
 def test_copies_of_a_text_do_not_hide_its_revealing_word(spark):
