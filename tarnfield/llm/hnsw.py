@@ -44,7 +44,7 @@ from tarnfield.llm.common import components, groups, mix, stored
 from tarnfield.sources import read_table
 
 #: Bytes of the vectors in a shard, as doubles.
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 32 << 20
 BLOCK_ROWS = 2_048
 LANE_BLOCKS = 256
 #: Vectors that pivots are chosen from, and the most pivots.

@@ -231,7 +231,7 @@ _JOIN = "concat_ws(',', transform({}, s -> concat(element_at(array('assign','acc
 
 def scanned(documents: DataFrame, spark: SparkSession, least: float = LEAST) -> DataFrame:
     """Spans of every row of ``documents(doc_id, text)``: ``base`` and ``all``, as arrays in order."""
-    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), "text")
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.monotonically_increasing_id().alias("row_key"), "text")
     found = stored(rows.mapInArrow(_scan, FOUND), spark)
     each = found.select("row_key", F.explode("vals").alias("v")).select("row_key", "v.start", "v.end", "v.value")
     costs = judged(stored(each.select("value").distinct(), spark), rows, spark)

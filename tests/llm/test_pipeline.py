@@ -66,3 +66,15 @@ def test_rows_equal_in_id_are_kept_apart_by_text(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = Counter(tuple(r) for r in jaccard.one_of_each(df, spark).collect())
     assert got == Counter({rows[k]: 1 for k in (0, 2, 4, 5, 6)})
+
+
+def test_columns_of_any_name_pass_through(spark):
+    names = ["row_key", "removed_lines", "_key", "_spans", "_copies", "_nth", "nr", "doc", "left", "clean", "spans", "copies", "nth", "set_id", "path", "n"]
+    text = " ".join(f"word{k}" for k in range(40))
+    rows = [(1, f"{text} a@b.org", "en", "a", 1, *names), (2, text[::-1], "en", None, 1, *names)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{n} string" for n in names))
+    out = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = corpus_pipeline.stored(stage(spark, out, SF), spark)
+        assert out.columns == docs.columns
+        assert all(tuple(r)[5:] == tuple(names) for r in out.collect()) and {r.doc_id for r in out.collect()} == {1, 2}
