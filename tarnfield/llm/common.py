@@ -90,6 +90,19 @@ def packed(df: DataFrame, spark: SparkSession) -> DataFrame:
     return stored(df.select(F.monotonically_increasing_id().alias("nr"), doc), spark)
 
 
+def bitmap(buckets: DataFrame, column: str, size: int) -> np.ndarray:
+    """Flags of the numbers below ``size``, a multiple of 2^15, that a column holds, made where the rows are.
+
+    ``size`` bits come to the driver, whatever the number of rows.
+    """
+    at = F.col(column).cast("bigint")
+    parts = buckets.select(F.shiftright(at, 15).alias("part"), at.bitwiseAND(F.lit((1 << 15) - 1)).alias("bit"))
+    out = np.zeros(size, bool)
+    for r in parts.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():
+        out[r.part << 15 : (r.part + 1) << 15] = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little")
+    return out
+
+
 def salted_join(many: DataFrame, few: DataFrame, on: list[str], spread: Column, how: str = "inner") -> DataFrame:
     """Join ``many`` with ``few`` where single keys may hold a large part of ``many``.
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfield.llm.common import packed, salted_join, slices, stored
+from tarnfield.llm.common import bitmap, packed, salted_join, slices, stored
 from tarnfield.llm.langid import Words
 from tarnfield.sources import read_table
 
@@ -229,11 +229,9 @@ def revealing(each: DataFrame, holding: DataFrame, texts: DataFrame, spark: Spar
     own = salted_join(each, entities.select("entity"), ["entity"], F.col("text_key")).groupBy("text_key").agg(F.collect_set("entity").alias("own"))
     pairs = own.join(holding, "text_key").select("own", "text").mapInArrow(_pairs, "entity bigint, word string")
     together = stored(pairs.groupBy("entity", "word").agg(F.count("*").alias("both")).where(F.col("both") >= support), spark)
-    buckets = together.select("word").distinct().mapInArrow(_buckets, "bucket int").distinct().toArrow().column(0).to_numpy()
-    if not len(buckets):
+    bits = bitmap(together.select("word").distinct().mapInArrow(_buckets, "bucket int"), "bucket", FILTER)
+    if not bits.any():
         return together.select("entity", "word")
-    bits = np.zeros(FILTER, bool)
-    bits[buckets] = True
     held, total = word_counts(texts, spark, np.packbits(bits))
     joined = salted_join(salted_join(together, held, ["word"], F.col("entity")), entities, ["entity"], F.col("word"))
     content = F.log(F.lit(float(total)) / F.col("texts"))
