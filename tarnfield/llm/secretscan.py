@@ -6,14 +6,15 @@ the cheapest way to cut it into parts, each guessed on its own, found by dynamic
 programming over its ends. Parts are words of the corpus (cost: one over their
 share of all words, more for capitals and for digits that stand for letters),
 dates, repeats, keyboard walks, and single characters by brute force. A value
-that costs ``least`` guesses or more, as a power of ten, is a secret.
+that costs ``least`` guesses or more, as a power of ten, is a secret and gets a span of
+its own, also where it lies inside a span of the base patterns, which stays.
 
 Word counts are taken over all texts, but only of words that occur inside a value:
 a filter of fixed size goes to the tasks, and an exact join follows.
 
 Defined results: a null or empty text has no spans; a text of any length is read
-whole; a value of any length is cut in linear time, words up to LONGEST letters;
-equal values are judged once; repeated rows and null ids come back row by row; an
+whole; a value of any length is cut in linear time, with words up to LONGEST letters
+and repeats of units up to 4 characters; equal values are judged once; repeated rows and null ids come back row by row; an
 empty table gives an empty result; other columns are ignored.
 """
 
@@ -21,16 +22,14 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfield.llm.common import salted_join, slices, stored
+from tarnfield.llm.common import bitmap, salted_join, slices, stored
 from tarnfield.llm.langid import Words
 from tarnfield.sources import read_table
 
@@ -39,6 +38,8 @@ KINDS = ("assign", "access", "hex", "guess")
 LEAST = 8.0
 SHORTEST, LONGEST = 3, 20
 FILTER = 1 << 20
+#: Words of a value that a task gives out at once.
+INNER = 50_000
 
 # The base patterns, and the least length of what they find.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -114,7 +115,7 @@ def guess_cost(value: str, words: dict[str, float]) -> float:
             size = sum(c.isdigit() for c in m[0])
             parts[m.end()].append((start, math.log10(120 * (1 if size == 4 else 12 if size == 6 and len(m[0]) < 8 and m[0][:2] in ("19", "20") else 366))))
     start = 0
-    for end in range(1, n + 1):  # keyboard walks: longest runs of neighbouring keys, and their tails
+    for end in range(1, n + 1):  # keyboard walks: longest runs of neighbouring keys
         if end == n or (small[end - 1], small[end]) not in _NEXT:
             if end - start >= 4:
                 turns = sum(_row(small[k]) != _row(small[k - 1]) for k in range(start + 1, end))
@@ -170,18 +171,18 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for text in batch.column(2).to_pylist():
                 own = base_spans(text) if text else []
                 base.append([dict(zip(("start", "kind", "end"), x)) for x in own])
-                named = [(a, b) for a, k, b in own if k == 0]
-                starts, ends = [a for a, _ in named], [0, *accumulate((b for _, b in named), max)]
-                found = values(text) if text else []
-                vals.append([{"start": a, "end": b, "value": v} for a, b, v in found if ends[bisect_right(starts, a)] < b])
+                vals.append([{"start": a, "end": b, "value": v} for a, b, v in (values(text) if text else [])])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, _BASE), pa.array(vals, _VALS)], ["doc_id", "row_key", "base", "vals"])
 
 
 def _inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words inside each value, which goes by its number, INNER at a time."""
     for batch in batches:
-        for value in batch.column(0).to_pylist():
-            inner = sorted(inner_words(value))
-            yield pa.RecordBatch.from_arrays([pa.array([value] * len(inner), pa.string()), pa.array(inner, pa.string())], ["value", "word"])
+        for nr, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            inner = pa.array(sorted(inner_words(value)), pa.string())
+            for at in range(0, len(inner), INNER):
+                part = inner[at : at + INNER]
+                yield pa.RecordBatch.from_arrays([pa.array([nr] * len(part), pa.int64()), part], ["nr", "word"])
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,17 +214,17 @@ def _costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def judged(distinct: DataFrame, texts: DataFrame, spark: SparkSession) -> DataFrame:
-    """``value`` and ``cost`` of distinct values, by the words of ``texts(text)``."""
-    inner = stored(distinct.mapInArrow(_inner, "value string, word string"), spark)
-    bits = np.zeros(FILTER, bool)
-    bits[[r[0] for r in inner.select("word").distinct().mapInArrow(_buckets, "bucket int").distinct().collect()]] = True
+    """``value`` and ``cost`` of the distinct values of ``distinct(value)``, by the words of ``texts(text)``."""
+    distinct = stored(distinct.select(F.monotonically_increasing_id().alias("nr"), "value"), spark)
+    inner = stored(distinct.mapInArrow(_inner, "nr bigint, word string"), spark)
+    bits = bitmap(inner.select("word").distinct().mapInArrow(_buckets, "bucket int"), "bucket", FILTER)
     counts = stored(texts.where("text is not null").select("text").mapInArrow(_counted(bits), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), spark)
     total = counts.where("word is null").agg(F.max("n")).first()[0] or 1
     cost = F.log10(F.lit(float(total)) / F.col("n"))
     # a common inner word may be in a large part of the values
-    known = salted_join(inner, counts.where("word is not null").select("word", cost.alias("cost")), ["word"], F.col("value"))
-    known = known.groupBy("value").agg(F.collect_list(F.struct("word", "cost")).alias("known"))
-    return distinct.join(known, "value", "left").select("value", "known").mapInArrow(_costs, "value string, cost double")
+    known = salted_join(inner, counts.where("word is not null").select("word", cost.alias("cost")), ["word"], F.col("nr"))
+    known = known.groupBy("nr").agg(F.collect_list(F.struct("word", "cost")).alias("known"))
+    return distinct.join(known, "nr", "left").select("value", "known").mapInArrow(_costs, "value string, cost double")
 
 
 _JOIN = "concat_ws(',', transform({}, s -> concat(element_at(array('assign','access','hex','guess'), s.kind + 1), ':', s.start, ':', s.end)))"

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from tarnfield.llm import secretscan
@@ -54,7 +55,8 @@ def test_values_are_judged_by_guess_cost(spark):
             assert ",".join(f"{secretscan.KINDS[s.kind]}:{s.start}:{s.end}" for s in r["base"]) == want
     assert guesses[1] == [["x9$Kq!27vLp"]] * 2 and guesses[None] == [["x9$Kq!27vLp"]]
     assert guesses[3] == [["zR7#mm2Qv!x"]] and guesses[4] == [["Tg6%hw8Lq2"]] and len(guesses[10][0]) == 1
-    assert all(guesses[k] == [[]] for k in (0, 2, 5, 6, 7, 8, 9))
+    assert all(guesses[k] == [[]] for k in (0, 2, 5, 7, 8, 9))
+    assert guesses[6] == [["0123456789abcdef" * 2]]  # inside a base span
     assert secretscan.scanned(df.limit(0), spark).count() == 0
 
 
@@ -73,3 +75,14 @@ def test_cost_is_the_least_over_all_cuts():
     cost = lambda v: secretscan.guess_cost(v, {})
     assert cost("aaaaaaaaaaaa") < 4 and cost("qwertyuiop") < 5 and cost("19870412") < 6 and cost("abcabcabcabc") < 6
     assert cost("kq7zp2xw9v") > 10 and cost("") == 0
+
+
+def test_values_in_base_spans_are_judged_too_and_long_ones_pass(spark):
+    rng = random.Random(9)
+    strong = "".join(rng.choice("abcdefghjkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(24))
+    long = "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(13_000))
+    texts = [f"password = {strong} ok", "password = aaaaaaaa ok", f"the token is {long} here"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: [(s.kind, texts[r.doc_id][s.start : s.end]) for s in r["all"]] for r in secretscan.scanned(df, spark).collect()}
+    assert got[0] == [(0, f"password = {strong}"), (3, strong)]
+    assert got[1] == [(0, "password = aaaaaaaa")] and got[2] == [(3, long)]
