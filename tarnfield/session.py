@@ -1,7 +1,7 @@
 """A local session for tests and the benchmark.
 
-Queries take the caller's session and set nothing on it; on a cluster its own
-settings hold.
+Queries take the caller's session; on a cluster its own settings hold, but for the size
+of the batches that operators hand to Python.
 """
 
 from __future__ import annotations
