@@ -6,6 +6,7 @@ makes of UTF-8, since no other white space lies in the ASCII range.
 
 from __future__ import annotations
 
+import contextlib
 import sys
 import tempfile
 import types
@@ -26,6 +27,8 @@ SALTS = 16
 
 #: The run folder of each application of this process.
 _FOLDERS: dict[str, str] = {}
+#: Lists that note what is stored while they are here.
+_RECORDS: list[list[str]] = []
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -76,10 +79,31 @@ def stored(df: DataFrame, spark: SparkSession) -> DataFrame:
     """
     bound_batches(spark)
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    for paths in _RECORDS:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths that ``stored`` writes inside the block."""
+    paths: list[str] = []
+    _RECORDS.append(paths)
+    try:
+        yield paths
+    finally:
+        _RECORDS[:] = [x for x in _RECORDS if x is not paths]
+
+
+def removed(paths: list[str], spark: SparkSession) -> None:
+    """Delete stored files that nothing reads any more."""
+    context = spark.sparkContext
+    for name in paths:
+        path = context._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def packed(df: DataFrame, spark: SparkSession) -> DataFrame:
     """Rows of ``df`` as ``doc``, one struct, each with a number of its own, ``nr``; stored.
 
