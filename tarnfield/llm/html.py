@@ -10,8 +10,11 @@ is the smallest element that holds the whole core, or the article or main around
 Where such elements hold most of the core, only what is in them counts as core. In
 the region all lines are kept but those mainly of links that stand apart from it.
 
-A role, class or id is evidence only: what it marks goes, unless it holds an article
-without mark or a main, or more than half of the page's core text.
+A role, class or id is evidence only, as is a form: what it marks goes, unless it holds
+an article without mark or a main, or more than half of the page's core text. A mark
+that may be a heading of the article (``discussion``, ``related``) counts inside an article
+only where the text under it is not prose: less than half in core lines. Inside an
+article element lines of links stay, as do they between the core's first and last line.
 
 Defined results: null, empty or tag-only html gives the empty text; broken markup
 is read as far as the parser makes sense of it, never raised; null page ids and
@@ -46,9 +49,11 @@ BLOCK = frozenset(
     " hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 DROPPED = frozenset(
-    "aside audio button canvas datalist dialog embed fieldset footer form frame head iframe input label map menu nav noscript object option output"
+    "aside audio button canvas datalist dialog embed footer frame head iframe input map menu nav noscript object option"
     " progress script select style svg template textarea title video".split()
 )
+# Elements that hold no article text unless most of the page's core is in them.
+WRAPPERS = frozenset("fieldset form".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 # Words in class, id or role that mark what is not the article.
 MARKS = frozenset(
@@ -57,6 +62,8 @@ MARKS = frozenset(
     " masthead topbar toolbar comment comments commentlist disqus reply replies respond discussion share sharing social related recommended recommendations"
     " newsletter subscribe subscription signup login paywall pagination pager skip hidden complementary contentinfo search alert copyright".split()
 )
+# Marks that are headings of articles too, so prose under them inside an article stays.
+AMBIGUOUS = frozenset("alert copyright discussion promotion recommendations recommended related replies respond search subscription".split())
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
@@ -92,6 +99,7 @@ class Lines(HTMLParser):
         self.path: tuple[int, ...] = ()
         self.marks: tuple[int, ...] = ()  # marked elements that are open
         self.holders: set[int] = set()  # marked elements that hold a main, or an article without mark
+        self.headings: set[int] = set()  # marked elements in an article whose mark may be a heading's
         self.kinds: dict[int, str] = {}  # article and main elements by their number on the path
         self.blocks = self.marked = self.dropped = self.anchors = self.articles = 0
         self.parts: list[tuple[str, bool, tuple[int, ...]]] = []
@@ -119,14 +127,16 @@ class Lines(HTMLParser):
                 return True
         return False
 
-    def _named(self, attrs: list[tuple[str, str | None]]) -> bool:
-        """Whether class, id or role have a word that marks what is not the article."""
+    def _named(self, attrs: list[tuple[str, str | None]]) -> set[str]:
+        """The words of class, id and role that mark what is not the article."""
+        found: set[str] = set()
         for name, value in attrs:
             if name in ("class", "id", "role") and value:
-                marks = set(_SPLIT.split(_CAMEL.sub("-", value).lower()))
-                if marks & MARKS or ("header" in marks and not self.articles):
-                    return True
-        return False
+                words = set(_SPLIT.split(_CAMEL.sub("-", value).lower()))
+                found |= words & MARKS
+                if "header" in words and not self.articles:
+                    found.add("header")
+        return found
 
     def _pop(self) -> None:
         tag, dropped, marked, block = self.open.pop()
@@ -156,8 +166,8 @@ class Lines(HTMLParser):
         dropped = self._unwanted(tag, attrs)
         if dropped and tag not in BLOCK and not self.dropped:
             self.parts.append((" ", False, self.marks))
-        named = not self.dropped and not dropped and tag not in ("html", "body") and self._named(attrs)
-        marked = named and tag not in ("main", "article")
+        named = self._named(attrs) if not self.dropped and not dropped and tag not in ("html", "body") else set()
+        marked = tag in WRAPPERS and not self.dropped or bool(named) and tag not in ("main", "article")
         block = tag in BLOCK and tag not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "tr")
         self.open.append((tag, dropped, marked, block))
         self.dropped += dropped
@@ -169,6 +179,8 @@ class Lines(HTMLParser):
         if marked:
             self.marked += 1
             self.marks = (*self.marks, self.marked)
+            if self.articles and named and named <= AMBIGUOUS and tag not in WRAPPERS:
+                self.headings.add(self.marked)
         if tag in ("article", "main"):
             self.kinds[self.blocks] = tag
             if not named or tag == "main":
@@ -243,14 +255,18 @@ def unmarked(page: Lines) -> list[Line]:
     """The lines without what names mark, as far as the text does not speak against it."""
     if not page.marked:
         return page.lines
-    places = dense(page.lines) or range(len(page.lines))
-    total, held = 0, dict.fromkeys(range(1, page.marked + 1), 0)
-    for k in places:
-        for text, _, marks in page.lines[k].parts:
-            total += len(text)
+    places = set(dense(page.lines) or range(len(page.lines)))
+    total, held, own = 0, dict.fromkeys(range(1, page.marked + 1), 0), dict.fromkeys(page.headings, 0)
+    for k, line in enumerate(page.lines):
+        for text, _, marks in line.parts:
+            total += len(text) if k in places else 0
             for m in marks:
-                held[m] += len(text)
-    gone = {m for m, n in held.items() if m not in page.holders and 2 * n <= total}
+                if k in places:
+                    held[m] += len(text)
+                if m in own:
+                    own[m] += len(text)
+    prose = {m for m, n in own.items() if 2 * held[m] > n}
+    gone = {m for m, n in held.items() if m not in page.holders and m not in prose and 2 * n <= total}
     return [x for x in (line.without(gone) for line in page.lines) if x.text]
 
 
@@ -274,7 +290,9 @@ def content(page: Lines) -> list[str]:
     if around:
         region = region[: around[-1] + 1]
     parents = {lines[k].path for k in core} | {region}
-    return [x.text for x in lines if x.path[: len(region)] == region and (x.path in parents or 2 * x.links <= len(x.text))]
+    in_article = any(page.kinds.get(b) == "article" for b in region)
+    kept = lambda k, x: in_article or core[0] <= k <= core[-1] or x.path in parents or 2 * x.links <= len(x.text)
+    return [x.text for k, x in enumerate(lines) if x.path[: len(region)] == region and kept(k, x)]
 
 
 def main_text(html: str | None) -> str:

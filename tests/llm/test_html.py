@@ -95,3 +95,32 @@ def test_marked_wrappers_of_the_article_stay():
     for names in ("content has-sidebar", "no-comments", "comments-open", "layout sidebar-right"):
         for body in (f"<article>{inner}</article>", f"<div class=post>{inner}</div>"):
             assert html.main_text(f"<body>{MENU}<div class='{names}'>{body}{side}</div></body>") == want
+
+
+def test_a_form_around_the_page_keeps_the_article():
+    inner = "".join(f"<p>{prose(k)}</p>" for k in range(6))
+    form = "<form action=/send><label>Your name</label><input>Write to us</form>"
+    want = "\n".join(["Title", *map(prose, range(6))])
+    for body in (f"<article><h1>Title</h1>{inner}{form}</article>", f"<div><h1>Title</h1>{inner}</div>"):
+        assert html.main_text(f'<body><form id="aspnetForm">{MENU}{body}<footer>Imprint</footer></form></body>') == want
+
+
+def test_outputs_and_labels_of_a_paragraph_stay():
+    page = f"<article><p>{prose(1)} It is <output>42</output>, says the <label>label</label> here.</p><p>{prose(2)}</p></article>"
+    assert html.main_text(page) == f"{prose(1)} It is 42, says the label here.\n{prose(2)}"
+
+
+def test_sections_of_an_article_named_like_noise_stay():
+    parts = [f"<p>{prose(k)}</p>" for k in range(8)]
+    page = f"<article>{''.join(parts[:4])}<section id=discussion>{parts[4]}{parts[5]}</section><div id=related-work>{parts[6]}</div>{parts[7]}</article>"
+    assert html.main_text(f"<body>{MENU}{page}</body>") == "\n".join(map(prose, range(8)))
+    noise = "<div class=related><ul><li><a href=/1>One more</a><li><a href=/2>Another</a></ul></div>"
+    comments = f"<section class=discussion><div class=comment><p>{prose(91)}</p></div></section>"
+    assert html.main_text(f"<body>{MENU}<article>{''.join(parts)}{noise}{comments}</article></body>") == "\n".join(map(prose, range(8)))
+
+
+def test_links_of_an_article_stay():
+    parts = [f"<p>{prose(k)}</p>" for k in range(4)]
+    page = f"<article>{parts[0]}<blockquote><a href=/q>A quoted link</a></blockquote>{''.join(parts[1:])}<h2>References</h2><ol><li><a href=/1>First source</a></li><li><a href=/2>Second source</a></li></ol></article>"
+    want = "\n".join([prose(0), "A quoted link", *map(prose, range(1, 4)), "References", "First source", "Second source"])
+    assert html.main_text(f"<body>{MENU}{page}</body>") == want
