@@ -11,7 +11,8 @@ Where such elements hold most of the core, only what is in them counts as core.
 the region all lines are kept but those mainly of links that stand apart from it.
 
 A role, class or id is evidence only, as is a form: what it marks goes, unless it holds
-an article without mark or a main, or more than half of the page's core text. A mark
+an article without mark or a main, or more than half of the page's core text and the
+page does not have its one article without mark elsewhere. A mark
 that may be a heading of the article (``discussion``, ``related``) counts inside an article
 only where the text under it is not prose: less than half in core lines. Inside an
 article element lines of links stay, as do they between the core's first and last line.
@@ -99,6 +100,8 @@ class Lines(HTMLParser):
         self.path: tuple[int, ...] = ()
         self.marks: tuple[int, ...] = ()  # marked elements that are open
         self.holders: set[int] = set()  # marked elements that hold a main, or an article without mark
+        self.inside: set[int] = set()  # marked elements inside an article or main
+        self.alone: set[int] = set()  # articles without mark, by their number on the path
         self.headings: set[int] = set()  # marked elements in an article whose mark may be a heading's
         self.kinds: dict[int, str] = {}  # article and main elements by their number on the path
         self.blocks = self.marked = self.dropped = self.anchors = self.articles = 0
@@ -179,10 +182,14 @@ class Lines(HTMLParser):
         if marked:
             self.marked += 1
             self.marks = (*self.marks, self.marked)
-            if self.articles and named and named <= AMBIGUOUS and tag not in WRAPPERS:
-                self.headings.add(self.marked)
+            if self.articles:
+                self.inside.add(self.marked)
+                if named and named <= AMBIGUOUS and tag not in WRAPPERS:
+                    self.headings.add(self.marked)
         if tag in ("article", "main"):
             self.kinds[self.blocks] = tag
+            if tag == "article" and not named:
+                self.alone.add(self.blocks)
             if not named or tag == "main":
                 self.holders.update(self.marks)
 
@@ -266,7 +273,9 @@ def unmarked(page: Lines) -> list[Line]:
                 if m in own:
                     own[m] += len(text)
     prose = {m for m, n in own.items() if 2 * held[m] > n}
-    gone = {m for m, n in held.items() if m not in page.holders and m not in prose and 2 * n <= total}
+    single = len(page.alone) == 1 and any(not page.alone.isdisjoint(x.path) for x in page.lines)
+    weak = lambda m, n: 2 * n <= total or (single and m not in page.inside)
+    gone = {m for m, n in held.items() if m not in page.holders and m not in prose and weak(m, n)}
     return [x for x in (line.without(gone) for line in page.lines) if x.text]
 
 

@@ -124,3 +124,7 @@ def test_links_of_an_article_stay():
     page = f"<article>{parts[0]}<blockquote><a href=/q>A quoted link</a></blockquote>{''.join(parts[1:])}<h2>References</h2><ol><li><a href=/1>First source</a></li><li><a href=/2>Second source</a></li></ol></article>"
     want = "\n".join([prose(0), "A quoted link", *map(prose, range(1, 4)), "References", "First source", "Second source"])
     assert html.main_text(f"<body>{MENU}{page}</body>") == want
+
+
+def test_an_advert_longer_than_the_one_article_goes():
+    assert html.main_text(f"<body>{MENU}<div class=ad>{prose(1)}</div><article><h1>Short.</h1><p>Text.</article></body>") == "Short.\nText."
