@@ -5,17 +5,22 @@ A value that follows a word for a credential (``password is ...``, ``pwd: ...``,
 the cheapest way to cut it into parts, each guessed on its own, found by dynamic
 programming over its ends. Parts are words of the corpus (cost: one over their
 share of all words, more for capitals and for digits that stand for letters),
-dates, repeats, keyboard walks, and single characters by brute force. A value
+dates, repeats, keyboard walks, and single characters by brute force. A repeat is the
+shortest unit before it once or more again, any unit and three or more in all; it costs
+their number, as the unit before it has been guessed by its own parts. A walk is any
+stretch of four or more neighbouring keys, or letters in alphabetical order. A value
 that costs ``least`` guesses or more, as a power of ten, is a secret and gets a span of
 its own, also where it lies inside a span of the base patterns, which stays.
 
-Word counts are taken over all texts, but only of words that occur inside a value:
-a filter of fixed size goes to the tasks, and an exact join follows.
+Word counts are taken over all texts but for the values themselves, which would make a
+secret of letters a known word, and only of words that occur inside a value:
+a filter of fixed size goes to the tasks, and an exact join follows. Words of more than
+KEY letters are looked for by their first KEY and compared when the value is cut.
 
 Defined results: a null or empty text has no spans; a text of any length is read
-whole; a value of any length is cut in linear time, with words up to LONGEST letters
-and repeats of units up to 4 characters; equal values are judged once; repeated rows and null ids come back row by row; an
-empty table gives an empty result; other columns are ignored.
+whole; so is a value, in time about linear in its length, with words, repeats and walks
+of any length; equal values are judged once; repeated rows and null ids come back row
+by row; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,17 +34,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfield.llm.common import bitmap, salted_join, slices, stored
+from tarnfield.llm.common import bitmap, salted_join, slices, span_hashes, stored
 from tarnfield.llm.langid import Words
 from tarnfield.sources import read_table
 
 KINDS = ("assign", "access", "hex", "guess")
 #: Power of ten of the guesses that a secret costs at least.
 LEAST = 8.0
-SHORTEST, LONGEST = 3, 20
+SHORTEST, KEY = 3, 20
 FILTER = 1 << 20
-#: Words of a value that a task gives out at once.
-INNER = 50_000
+#: Places of a value whose words a task gives out at once.
+INNER = 4096
+#: Periods that are looked for by comparing a value with itself moved along.
+NEAR = 63
 
 # The base patterns, and the least length of what they find.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -61,7 +68,20 @@ LEET = {"4": "a", "@": "a", "3": "e", "0": "o", "$": "s", "5": "s", "7": "t", "+
 _NEXT = {(a, b) for row in ROWS for a, b in zip(row, row[1:])}
 _NEXT |= {(a, b) for up, down in zip(ROWS, ROWS[1:]) for k, a in enumerate(up) for b in down[max(0, k - 1) : k + 1]}
 _NEXT |= {(b, a) for a, b in _NEXT} | {(c, c) for row in ROWS for c in row}
-_DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)?\d\d")
+_ORDER = {pair for k in range(ord("a"), ord("z")) for pair in ((chr(k), chr(k + 1)), (chr(k + 1), chr(k)))}
+_DAY, _MONTH, _YEAR = "(?:0[1-9]|[12][0-9]|3[01])", "(?:0[1-9]|1[0-2])", "(?:19|20)[0-9][0-9]"
+# Forms of dates, and how many dates each can be.
+DATES = tuple(
+    (re.compile("[-/._]?".join(form)), math.log10(dates))
+    for form, dates in (
+        ((_YEAR,), 120),
+        ((_YEAR, _MONTH), 120 * 12),
+        ((_YEAR, _MONTH, _DAY), 120 * 366),
+        ((_DAY, _MONTH), 366),
+        ((_DAY, _MONTH, _YEAR), 120 * 366),
+        ((_DAY, _MONTH, "[0-9][0-9]"), 120 * 366),
+    )
+)
 _END = ".,;:!?)]}…”»"
 
 
@@ -72,17 +92,18 @@ def forms(value: str) -> list[str]:
     return [small] if not odd or 3 * odd > len(small) else [small, "".join(LEET.get(c, c) for c in small)]
 
 
-def inner_words(value: str) -> set[str]:
-    """All runs of SHORTEST to LONGEST letters inside the forms of a value."""
-    out = set()
+def inner_words(value: str) -> Iterator[set[str]]:
+    """All runs of SHORTEST to KEY letters inside the forms of a value, those of INNER places at a time."""
     for form in forms(value):
-        for start in range(len(form)):
-            for end in range(start + 1, min(len(form), start + LONGEST) + 1):
-                if not form[end - 1].isalpha():
-                    break
-                if end - start >= SHORTEST:
-                    out.add(form[start:end])
-    return out
+        for first in range(0, len(form), INNER):
+            out = set()
+            for start in range(first, min(len(form), first + INNER)):
+                for end in range(start + 1, min(len(form), start + KEY) + 1):
+                    if not form[end - 1].isalpha():
+                        break
+                    if end - start >= SHORTEST:
+                        out.add(form[start:end])
+            yield out
 
 
 def _single(c: str) -> float:
@@ -94,45 +115,131 @@ def _row(c: str) -> int:
     return next((k for k, row in enumerate(ROWS) if c in row), -1)
 
 
+def _alike(text: str, a: int, b: int, way: int) -> int:
+    """How many characters agree from places a < b on, forwards (way 1), or before them, backwards (-1)."""
+    room, size, step, growing = len(text) - b if way > 0 else a, 0, 64, True
+    while size < room:
+        m = min(step, room - size)
+        x, y = (a + size, b + size) if way > 0 else (a - size - m, b - size - m)
+        if text[x : x + m] == text[y : y + m]:
+            size += m
+            step = 2 * step if growing else max(1, step // 2)
+        elif m == 1:
+            break
+        else:
+            step, growing = m // 2, False
+    return size
+
+
+def runs(text: str) -> list[tuple[int, int, int]]:
+    """Start, end and shortest period of the longest stretches with three periods or more."""
+    n, found, ends = len(text), [], set()
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+    def add(start: int, end: int, period: int) -> None:
+        if (start, end) not in ends:  # a longer period of the same stretch is a multiple of its shortest
+            ends.add((start, end))
+            found.append((start, end, period))
+
+    for period in range(1, min(n // 3, NEAR) + 1):
+        cuts = np.concatenate([[-1], np.flatnonzero(points[period:] != points[:-period]), [n - period]])
+        for k in np.flatnonzero(np.diff(cuts) - 1 >= 2 * period).tolist():
+            add(int(cuts[k]) + 1, int(cuts[k + 1]) + period, period)
+    # periods of width to 2 * width: a block that every such run holds, and where it stands again
+    width = NEAR + 1
+    while 3 * width <= n:
+        shorter, at, reach, last = sorted(found), 0, 0, {}
+        for a in range(0, n - 2 * width + 1, width):
+            while at < len(shorter) and shorter[at][0] <= a:
+                reach = max(reach, shorter[at][1])
+                at += 1
+            if reach >= a + 3 * width:
+                continue  # what repeats here has a shorter period
+            block = text[a : a + width]
+            again = text.find(block, a + width, a + 3 * width - 1)
+            while again >= 0:
+                period = again - a
+                if last.get(period, 0) < again + width:
+                    start, end = a - _alike(text, a, again, -1), again + _alike(text, a, again, 1)
+                    last[period] = end
+                    if end - start >= 3 * period:
+                        add(start, end, period)
+                again = text.find(block, again + 1, a + 3 * width - 1)
+        width *= 2
+    return found
+
+
+def _least(kept: list[tuple[int, float]], start: int, weight: float, end: int) -> float:
+    """The least of weight + log10(end - start) over the starts so far and one more, further on.
+
+    A later start of no more weight is better at every end; an earlier one that is better
+    at one end is so at all that follow. So few are kept.
+    """
+    while kept and kept[-1][1] >= weight:
+        kept.pop()
+    kept.append((start, weight))
+    low, left = math.inf, []
+    for s, w in kept:
+        cost = w + math.log10(end - s)
+        if cost < low:
+            low = cost
+            left.append((s, w))
+    kept[:] = left
+    return low
+
+
 def guess_cost(value: str, words: dict[str, float]) -> float:
     """Power of ten of the guesses for a value; ``words`` has the power of ten of each inner word."""
     n, all_forms = len(value), forms(value)
     small = all_forms[0]
-    parts: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]  # by end: start and cost
+    parts: dict[int, list[tuple[int, float]]] = {}  # by end: start and cost
+    long: dict[str, list[str]] = {}
+    for word in words:
+        if len(word) > KEY:
+            long.setdefault(word[:KEY], []).append(word)
+    sizes = sorted({len(w) for w in words if len(w) <= KEY})
     for nth, form in enumerate(all_forms):
-        for start in range(n):
-            for end in range(start + SHORTEST, min(n, start + LONGEST) + 1):
-                cost = words.get(form[start:end])
-                if cost is not None:
-                    plain = value[start:end]
-                    upper = sum(c.isupper() for c in plain)
-                    capitals = 0.0 if not upper else math.log10(2) if upper == len(plain) or (upper == 1 and plain[0].isupper()) else math.log10(math.comb(len(plain), upper) + 1)
-                    signs = sum(a != b for a, b in zip(form[start:end], small[start:end])) if nth else 0
-                    parts[end].append((start, cost + capitals + signs * math.log10(2)))
+        for start in range(n if words else 0):
+            held = [w for size in sizes if (w := form[start : start + size]) in words and len(w) == size]
+            held += [w for w in long.get(form[start : start + KEY], ()) if form.startswith(w, start)]
+            for word in held:
+                end = start + len(word)
+                plain = value[start:end]
+                upper = sum(c.isupper() for c in plain)
+                capitals = 0.0 if not upper else math.log10(2) if upper == len(plain) or (upper == 1 and plain[0].isupper()) else math.log10(math.comb(len(plain), upper) + 1)
+                signs = sum(a != b for a, b in zip(word, small[start:end])) if nth else 0
+                parts.setdefault(end, []).append((start, words[word] + capitals + signs * math.log10(2)))
     for start in range(n):
-        m = _DATE.match(value, start)
-        if m:
-            size = sum(c.isdigit() for c in m[0])
-            parts[m.end()].append((start, math.log10(120 * (1 if size == 4 else 12 if size == 6 and len(m[0]) < 8 and m[0][:2] in ("19", "20") else 366))))
-    start = 0
-    for end in range(1, n + 1):  # keyboard walks: longest runs of neighbouring keys
-        if end == n or (small[end - 1], small[end]) not in _NEXT:
-            if end - start >= 4:
-                turns = sum(_row(small[k]) != _row(small[k - 1]) for k in range(start + 1, end))
-                parts[end].append((start, math.log10(94 * (end - start)) + turns * math.log10(4)))
-            start = end
-    best = [0.0] + [math.inf] * n
+        for form, cost in DATES if value[start].isdigit() else ():
+            if m := form.match(value, start):
+                parts.setdefault(m.end(), []).append((start, cost))
+    coming = sorted(((start + 3 * period, end, period) for start, end, period in runs(value)), reverse=True)
+    going: list[tuple[int, int, dict[int, list[tuple[int, float]]]]] = []  # end, period and starts of the runs here
+    rows, turn, turns = [_row(c) for c in small], math.log10(4), [0] * (n + 1)  # changes of row up to each key
+    walk, walks, order, orders = 0, [], 0, []  # where the walk and the alphabetical stretch begin, and starts in them
+    best = [0.0] * (n + 1)
     for end in range(1, n + 1):
         low = best[end - 1] + _single(value[end - 1])
-        for start, cost in parts[end]:
+        for start, cost in parts.get(end, ()):
             low = min(low, best[start] + cost + math.log10(2))
-        for unit in (1, 2, 3, 4):  # repeats: the unit once, and how often
-            times = 1
-            while end - (times + 1) * unit >= 0 and value[end - (times + 1) * unit : end - times * unit] == value[end - unit : end] and times < 64:
-                times += 1
-            if times >= 3:
-                start = end - times * unit
-                low = min(low, best[start] + sum(map(_single, value[end - unit : end])) + math.log10(times))
+        key = end - 1
+        if key:
+            turns[key] = turns[key - 1] + (rows[key] != rows[key - 1])
+            if (small[key - 1], small[key]) not in _NEXT:
+                walk, walks = key, []
+            if (small[key - 1], small[key]) not in _ORDER:
+                order, orders = key, []
+        if end - order >= 4:
+            low = min(low, _least(orders, end - 4, best[end - 4], end) + math.log10(26))
+        if end - walk >= 4:
+            low = min(low, _least(walks, end - 4, best[end - 4] - turn * turns[end - 4], end) + math.log10(94) + turn * turns[key])
+        while coming and coming[-1][0] <= end:
+            _, last, period = coming.pop()
+            going.append((last, period, {}))
+        if going:
+            going = [x for x in going if x[0] >= end]
+            for _, period, starts in going:  # the unit stands before the repeat, so the stretch starts one period earlier
+                low = min(low, _least(starts.setdefault(end % period, []), end - 3 * period, best[end - 2 * period], end) - math.log10(period))
         best[end] = low
     return best[n]
 
@@ -159,6 +266,15 @@ def values(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def without_values(text: str) -> str:
+    """The text with a space for each value in a credential context."""
+    out, at = [], 0
+    for start, end, _ in values(text):
+        out += [text[at:start], " "]
+        at = end
+    return "".join(out) + text[at:] if out else text
+
+
 FOUND = "doc_id bigint, row_key bigint, base array<struct<start:bigint,kind:int,end:bigint>>, vals array<struct<start:bigint,end:bigint,value:string>>"
 _BASE = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
 _VALS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))
@@ -176,20 +292,24 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words inside each value, which goes by its number, INNER at a time."""
+    """The words inside each value, which goes by its number."""
     for batch in batches:
         for nr, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            inner = pa.array(sorted(inner_words(value)), pa.string())
-            for at in range(0, len(inner), INNER):
-                part = inner[at : at + INNER]
-                yield pa.RecordBatch.from_arrays([pa.array([nr] * len(part), pa.int64()), part], ["nr", "word"])
+            for inner in inner_words(value):
+                yield pa.RecordBatch.from_arrays([pa.array([nr] * len(inner), pa.int64()), pa.array(sorted(inner), pa.string())], ["nr", "word"])
+
+
+def _bucket(texts: list[str]) -> np.ndarray:
+    """The bucket of each text in lower case."""
+    ends = 4 * np.cumsum([len(t) for t in texts])
+    data = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint8)
+    return span_hashes(data, np.concatenate([[0], ends[:-1]]), ends) & np.uint64(FILTER - 1)
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            bucket = np.unique(Words(batch.column(0).to_pylist()).name & np.uint64(FILTER - 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket)], ["bucket"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_bucket(batch.column(0).to_pylist())).astype(np.int32))], ["bucket"])
 
 
 def _counted(wanted: np.ndarray):
@@ -198,9 +318,13 @@ def _counted(wanted: np.ndarray):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 0):
-                words = Words(batch.column(0).to_pylist())
+                words = Words([without_values(t) for t in batch.column(0).to_pylist()])
                 times = np.bincount(words.word, minlength=len(words.first))
-                pick = np.flatnonzero(wanted[words.name & np.uint64(FILTER - 1)])
+                own = words.name & np.uint64(FILTER - 1)
+                long = np.flatnonzero(np.diff(words.first, append=len(words.letters)) - 2 > KEY)
+                if len(long):
+                    own[long] = _bucket([words.text(k)[:KEY] for k in long])
+                pick = np.flatnonzero(wanted[own])
                 held = [None, *(words.text(k) for k in pick)]
                 yield pa.RecordBatch.from_arrays([pa.array(held, pa.string()), pa.array([len(words.word), *times[pick].tolist()], pa.int64())], ["word", "n"])
 
@@ -222,8 +346,8 @@ def judged(distinct: DataFrame, texts: DataFrame, spark: SparkSession) -> DataFr
     total = counts.where("word is null").agg(F.max("n")).first()[0] or 1
     cost = F.log10(F.lit(float(total)) / F.col("n"))
     # a common inner word may be in a large part of the values
-    known = salted_join(inner, counts.where("word is not null").select("word", cost.alias("cost")), ["word"], F.col("nr"))
-    known = known.groupBy("nr").agg(F.collect_list(F.struct("word", "cost")).alias("known"))
+    counted = counts.where("word is not null").select(F.substring("word", 1, KEY).alias("word"), F.struct("word", cost.alias("cost")).alias("whole"))
+    known = salted_join(inner, counted, ["word"], F.col("nr")).groupBy("nr").agg(F.collect_set("whole").alias("known"))
     return distinct.join(known, "nr", "left").select("value", "known").mapInArrow(_costs, "value string, cost double")
 
 

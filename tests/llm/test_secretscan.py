@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -86,3 +87,77 @@ def test_values_in_base_spans_are_judged_too_and_long_ones_pass(spark):
     got = {r.doc_id: [(s.kind, texts[r.doc_id][s.start : s.end]) for s in r["all"]] for r in secretscan.scanned(df, spark).collect()}
     assert got[0] == [(0, f"password = {strong}"), (3, strong)]
     assert got[1] == [(0, "password = aaaaaaaa")] and got[2] == [(3, long)]
+
+
+def slow_cost(value, words):
+    """The least cost by every part at every end, as the parts are stated."""
+    small, row, n = value.lower(), secretscan._row, len(value)
+    best = [0.0]
+
+    def shortest(s):
+        return next(p for p in range(1, len(s) + 1) if all(s[k] == s[k - p] for k in range(p, len(s))))
+
+    for end in range(1, n + 1):
+        options = [best[end - 1] + secretscan._single(value[end - 1])]
+        for start in range(end):
+            part = value[start:end]
+            fits = [words[w] for w in words if w == part] + [c for p, c in secretscan.DATES if p.fullmatch(part)]
+            options += [best[start] + c + math.log10(2) for c in fits]
+            if len(part) >= 4 and all((small[k - 1], small[k]) in secretscan._NEXT for k in range(start + 1, end)):
+                turns = sum(row(small[k]) != row(small[k - 1]) for k in range(start + 1, end))
+                options.append(best[start] + math.log10(94 * len(part)) + turns * math.log10(4))
+            if len(part) >= 4 and all(abs(ord(a) - ord(b)) == 1 and (a + b).isalpha() for a, b in zip(small[start:], small[start + 1 : end])):
+                options.append(best[start] + math.log10(26 * len(part)))
+            for period in range(1, min(start, (end - start) // 2) + 1):
+                if (end - start) % period == 0 and shortest(value[start - period : end]) == period:
+                    options.append(best[start] + math.log10((end - start) // period + 1))
+        best.append(min(options))
+    return best[n]
+
+
+def test_repeats_walks_dates_and_words_by_every_cut():
+    rng = random.Random(3)
+    words = {"aba": 1.1, "bab": 2.0, "qwe": 1.5, "abbaabbaabbaabbaabbaabba": 1.0}
+    made = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 40))) for letters in ("ab", "ab", "a-", "qwe", "1qaz2", "1920-0", "abc") for _ in range(40)]
+    made += ["x" * 30, "xxxxx-" * 3 + "xxxxx", "abcde" * 4, "qwertyuiopx" * 3, "abba" * 7, "1987041219870412", "12041999", "abcdefxxfedcba", "abcdefgabcdefgabcdefg"]
+    for value in made:
+        assert abs(secretscan.guess_cost(value, words) - slow_cost(value, words)) < 1e-9, value
+    assert secretscan.guess_cost("xxxxx-xxxxx-xxxxx-xxxxx", {}) < secretscan.LEAST and secretscan.guess_cost("abcde" * 4, {}) < secretscan.LEAST
+
+
+def test_runs_of_any_period():
+    rng = random.Random(5)
+    for period in (1, 2, 63, 64, 65, 127, 128, 200, 300, 511):
+        unit = "".join(rng.choice("abcdefgh") for _ in range(period))
+        text = "XY" + unit * 4 + unit[: period // 2] + "Z" + "".join(rng.choice("abcdefgh") for _ in range(50))
+        assert (period if period > 1 else 1) in {p for a, b, p in secretscan.runs(text) if a <= 2 and b >= 2 + 4 * period}
+    for _ in range(30):
+        unit = "".join(rng.choice("ab") for _ in range(rng.randrange(64, 140)))
+        text = unit * 3 + "a" * rng.randrange(300) + unit * 4
+        want = set()
+        for p in range(1, len(text) // 3 + 1):
+            start = 0
+            for k in range(p, len(text) + 1):
+                if k == len(text) or text[k] != text[k - p]:
+                    if k - start >= 3 * p:
+                        want.add((start, k, p))
+                    start = k - p + 1
+        shortest = {(a, b): min(p for x, y, p in want if (x, y) == (a, b)) for a, b, _ in want}
+        assert {(a, b): p for a, b, p in secretscan.runs(text)} == shortest
+
+
+def test_a_value_of_very_many_letters_is_judged():
+    rng = random.Random(7)
+    value = "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(200_000))
+    assert secretscan.guess_cost(value, {value[50:90]: 3.0}) > 200_000
+    assert secretscan.guess_cost("ab" * 100_000, {}) < secretscan.LEAST + 1
+    assert max(map(len, secretscan.inner_words(value))) <= 18 * secretscan.INNER
+
+
+def test_words_of_any_length_are_known(spark):
+    word = "donaudampfschifffahrtsgesellschaft"
+    other = word[:-3] + "xyz"
+    texts = [f"{word} " * 50 + f"{other} " * 50, f"password = {word.capitalize()}7", f"password = {word[:-1]}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r["all"] if s.kind == 3] for r in secretscan.scanned(df, spark).collect()}
+    assert got == {0: [], 1: [], 2: [word[:-1]]}
