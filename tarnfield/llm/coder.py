@@ -1,17 +1,18 @@
 """An adaptive context-mixing range coder for blocks of token ids.
 
 Each block starts from nothing and is coded for itself, so blocks can be read in
-any order and a damaged one harms no other. The probability of an id is mixed from
-three predictions: order 2 and order 1 each expect the id that lately followed the
-last two ids or the last one, order 0 counts ids, as four hexadecimal digits each
-counted after the digits before it (the last after a hash of them). The weights of the mixture are counted anew in
-every block for each pair of confidences of orders 2 and 1: the coder first codes
-the highest order that expects the id, and if none does, the id by order 0.
+any order and a damaged one harms no other. An id is coded as four hexadecimal digits.
+The probabilities of each digit are mixed from three models: order 0 counts digits after
+the digits above them (the last after a hash of those); orders 1 and 2 count ids after
+the last id and after the last two, the two latest ids of a context, and give to each
+digit the part of those ids that agree with the digits above and have it. The weights of
+the mixture are kept for each digit and for how often orders 1 and 2 have met such ids;
+each model gains by its part in the probability of the digit that came.
 
 Blocks of a task are coded side by side: every step takes one id of each block, so
 all arithmetic runs over arrays. A block of n ids with documents d is stored as
 
-    4 bytes  b"TKC1"
+    4 bytes  b"TKC2"
     u32      n                 u32  number of documents in the block
     u32      crc32 of the ids as little-endian unsigned 32-bit integers
     u32      number of 16-bit words of the payload
@@ -29,68 +30,130 @@ import zlib
 
 import numpy as np
 
-MAGIC, HEAD, ENTRY = b"TKC1", "<4sIIII", np.dtype([("doc", "<i8"), ("n", "<u4"), ("flags", "<u4")])
+MAGIC, HEAD, ENTRY = b"TKC2", "<4sIIII", np.dtype([("doc", "<i8"), ("n", "<u4"), ("flags", "<u4")])
 STARTS, ENDS, NO_ID = 1, 2, 4
 
 BLOCK_IDS = 4096
 LANES = 1024
-SLOTS = 2048
-#: Rows of counts of the last digit, shared by hash: a lane's tables stay in the cache.
-LAST_ROWS = 256
-ROWS = 1 + 16 + 256 + LAST_ROWS
+#: Rows of counts of the last digit, found by a hash of the digits above it.
+LAST_ROWS = 2048
+ROWS = 273 + LAST_ROWS
+#: Contexts of orders 1 and 2 that a lane holds.
+SLOTS = (2048, 4096)
+#: What a count of order 0 gains, by digit: more under longer prefixes, which meet fewer. It begins at 1,
+#: and a block is too short to take one past 16 bits.
+STEPS = (2, 4, 8, 15)
+#: Sum of a mixture, and the weights at first: of order 0, and for each time that order 1 or 2 has met its ids.
+SCALE, START = np.float32(1 << 15), (8.0, 1.0, 2.0)
+#: Before the first id of a block.
 NONE = 65_535
-#: Steps of the counts; a block is too short to make a sum of counts pass 16 bits.
-DIGIT_STEP, WEIGHT_STEP, SURE = 12, 12, 3
 
 _UP_TO = np.triu(np.ones((16, 16), np.float32))  # column d: sum of counts up to digit d
-_UP_TO3 = np.triu(np.ones((3, 3), np.float32))
+_ALL = np.ones(16, np.float32)
+_DIGITS = np.arange(4)[:, None]
+_SHIFTS, _STEPS = 12 - 4 * _DIGITS, np.array(STEPS, np.uint16)[:, None]
 _WORD, _REST, _FULL = np.uint64(16), np.uint64(48), np.uint64(1 << 48)
+_FIRST = (0, 1, 17, 273)
+_PAIR, _ID = (1 << 56) - 1, (1 << 28) - 1
+
+
+def _start() -> np.ndarray:
+    """Weights of the orders at first, by digit, met by order 2, met by order 1."""
+    weights = np.zeros((4, 4, 4, 3), np.float32)
+    weights[..., 0] = START[0]
+    weights[..., 1] = START[1] * np.arange(4)
+    weights[..., 2] = START[2] * np.arange(4)[:, None]
+    return weights.reshape(64, 3)
 
 
 class Model:
-    """Predictions for many blocks, one lane each; encoder and decoder keep it alike."""
+    """Predictions for many blocks, one lane each; encoder and decoder keep it alike.
+
+    A context of order 1 or 2 is one number: the id met last after it in 16 bits and
+    its count in 12, the id met before that and its count, and 7 bits that tell contexts
+    of the same slot apart. Shares are whole numbers, and what they are made from comes
+    from one operation after another on each element, so both sides get the same on any
+    machine. Arrays have a column for each lane; the encoder's have a row for each digit.
+    """
 
     def __init__(self, lanes: int):
-        self.digits = np.ones((lanes * ROWS, 16), np.float32)
-        self.flat = self.digits.reshape(-1)
-        self.weights = np.ones((lanes * 16, 3), np.float32)
-        self.flat_weights = self.weights.reshape(-1)
-        # order 2, then order 1: the id that is expected, and in two bits how surely
-        self.expect = np.full(2 * lanes * SLOTS, NONE << 2, np.int32)
-        self.order1 = lanes * SLOTS
-        self.last = np.zeros(lanes, np.int64)
-        self.before = np.zeros(lanes, np.int64)
+        self.counts = np.ones((lanes * ROWS, 16), np.uint16)
+        self.flat = self.counts.reshape(-1)
+        self.contexts = [np.zeros(lanes * n, np.int64) for n in SLOTS]
+        self.weights = np.tile(_start(), (lanes, 1)).reshape(-1)
+        self.last = np.full(lanes, NONE, np.int64)
+        self.before = self.last
         self.keep(lanes)
 
     def keep(self, lanes: int) -> None:
         """Go on with the first lanes only."""
-        self.lane = np.arange(lanes)
-        self.base, self.base1 = self.lane * SLOTS, self.lane * SLOTS + self.order1
-        self.row16, self.node = self.lane * 16, self.lane * ROWS
+        lane = np.arange(lanes)
+        self.row, self.weight = lane * ROWS, lane * 64
+        self.base = [lane * n for n in SLOTS]
         self.last, self.before = self.last[:lanes], self.before[:lanes]
 
-    def look(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Slots of both orders with what they hold, and the row of weights."""
-        slots = np.concatenate([self.base + ((self.last * 52_711 + self.before * 24_593 >> 5) & SLOTS - 1), self.base1 + (self.last * 40_503 >> 3 & SLOTS - 1)])
-        held = self.expect.take(slots)
-        sure = held & 3
-        n = len(self.lane)
-        return slots, held, self.row16 + (sure[:n] << 2) + sure[n:]
-
-    def learn(self, ids: np.ndarray, hits: np.ndarray, slots: np.ndarray, held: np.ndarray, row: np.ndarray, order: np.ndarray) -> None:
-        self.flat_weights[row * 3 + order] += WEIGHT_STEP
-        sure = held & 3
-        fresh = np.concatenate([ids, ids]).astype(np.int32) << 2
-        self.expect[slots] = np.where(hits, held + (sure < SURE), np.where(sure > 0, held - 1, fresh))
+    def look(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The ids that orders 1 and 2 have met after the last ids, two each, and their counts."""
+        one = self.last * 2_654_435_761
+        self.slots, self.tags, self.held, near = [], [], [], []
+        for base, size, table, h in zip(self.base, SLOTS, self.contexts, (one, one + self.before * 40_503_000_017)):
+            slot, tag = base + (h >> 13 & size - 1), h >> 27 & 0x7F
+            held = table.take(slot)
+            held = (held & _PAIR) * (held >> 56 == tag)
+            self.slots.append(slot)
+            self.tags.append(tag)
+            self.held.append(held)
+            near += [(held >> 12 & 0xFFFF, (held & 0xFFF).astype(np.float32)), (held >> 40, (held >> 28 & 0xFFF).astype(np.float32))]
+        return near
+
+    def rows(self, digit: int, above: np.ndarray) -> np.ndarray:
+        """Rows of order 0's counts of a digit, after the digits above it."""
+        return self.row + _FIRST[digit] + (above if digit < 3 else above * 40_503 >> 4 & LAST_ROWS - 1)
+
+    def mixed(self, rows: np.ndarray, digit: np.ndarray | int, above: np.ndarray, near: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, tuple]:
+        """Whole shares of the 16 digits, mixed from the three orders, and what ``learn`` needs."""
+        spots, met, shift = [], [], 12 - 4 * digit
+        line = np.arange(0, 16 * rows.size, 16).reshape(rows.shape)
+        for ids, counts in near:
+            top = ids >> shift
+            met.append(counts * (top >> 4 == above))
+            spots.append(line + (top & 15))
+        sums = met[0] + met[1], met[2] + met[3]
+        at = (self.weight + 16 * digit + (np.minimum(sums[1], 3) * 4 + np.minimum(sums[0], 3)).astype(np.int64)) * 3
+        own = [self.weights.take(at + k) for k in range(3)]
+        scale = SCALE / (own[0] + own[1] + own[2])
+        counts = self.counts.take(rows, 0).astype(np.float32)
+        counts *= (scale * own[0] / (counts @ _ALL))[..., None]
+        shares = np.floor(counts)
+        shares += 1
+        flat = shares.reshape(-1)
+        for k in range(2):
+            part = scale * own[k + 1] / np.maximum(sums[k], 1)
+            for j in (2 * k, 2 * k + 1):
+                met[j] *= part
+                flat[spots[j]] += np.floor(met[j])
+        return shares, (counts, met, spots, line, at)
+
+    def learn(self, rows: np.ndarray, step: np.ndarray | int, used: tuple, digits: np.ndarray) -> None:
+        """Count the digits, and give weight to each order by its part in their shares."""
+        counts, met, spots, line, at = used
+        spot = line + digits
+        hit = [m * (s == spot) for m, s in zip(met, spots)]
+        gain = [counts.reshape(-1).take(spot), hit[0] + hit[1], hit[2] + hit[3]]
+        rate = 1 / (gain[0] + gain[1] + gain[2])
+        for k in range(3):
+            self.weights[at + k] += gain[k] * rate
+        self.flat[rows * 16 + digits] += step
+
+    def step(self, ids: np.ndarray) -> None:
+        """Count the ids after the last ones, and go on to them."""
+        fresh = ids << 12 | 1
+        for slot, tag, held, table in zip(self.slots, self.tags, self.held, self.contexts):
+            second = held >> 28
+            front = np.where(second >> 12 == ids, second + 1, fresh)
+            table[slot] = tag << 56 | np.where(held >> 12 & 0xFFFF == ids, held + 1, front | (held & _ID) << 28)
         self.before, self.last = self.last, ids
 
-    def nodes(self, rest: np.ndarray, high: list[np.ndarray]) -> np.ndarray:
-        """Rows of counts of the next digit, after the digits in front of it."""
-        base = self.node[rest]
-        if len(high) < 3:
-            return base + (0, 1, 17)[len(high)] + (high[-1] if high else 0)
-        return base + 273 + (high[-1] * 40_503 >> 4 & LAST_ROWS - 1)
-
 
 class Writer:
     """Narrows the interval of every lane and writes its settled words.
@@ -108,9 +171,9 @@ class Writer:
         self.flat = self.words.reshape(-1)
         self.at = np.arange(lanes) * self.words.shape[1] + 1
 
-    def put(self, lanes: np.ndarray, *steps: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
-        """One or two steps, each the counts before the symbol, its own and all."""
-        low, width = self.low.take(lanes), self.width.take(lanes)
+    def put(self, lanes: int, *steps: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+        """One or two steps of the first lanes, each the shares before the digit, its own and all."""
+        low, width = self.low[:lanes], self.width[:lanes]
         for before, count, total in steps:
             part = width // total
             start = low
@@ -118,18 +181,17 @@ class Writer:
             width = part * count
             carry = np.flatnonzero(low < start)
             if len(carry):
-                self.flat[self.at[lanes[carry]] - 1] += np.uint32(1)
+                self.flat[self.at[carry] - 1] += np.uint32(1)
         full = np.flatnonzero(width < _FULL)
         while len(full):
-            out = lanes[full]
-            at = self.at[out]
+            at = self.at[full]
             self.flat[at] = low[full] >> _REST
-            self.at[out] = at + 1
+            self.at[full] = at + 1
             low[full] <<= _WORD
             wide = width[full] << _WORD
             width[full] = wide
             full = full[wide < _FULL]
-        self.low[lanes], self.width[lanes] = low, width
+        self.low[:lanes], self.width[:lanes] = low, width
 
     def close(self) -> list[bytes]:
         out = []
@@ -159,42 +221,34 @@ class Reader:
         self.end = self.at + self.words.shape[1] - 5
         self.width = np.full(len(words), np.iinfo(np.uint64).max, np.uint64)
 
-    def open(self, lanes: np.ndarray) -> None:
-        self.lanes, self.far, self.wide = lanes, self.above.take(lanes), self.width.take(lanes)
+    def open(self, lanes: int) -> None:
+        self.far, self.wide = self.above[:lanes], self.width[:lanes]
 
-    def get(self, counts: np.ndarray, up_to: np.ndarray) -> np.ndarray:
-        """The symbol of each open lane under its row of counts."""
-        sums, size = counts @ up_to, counts.shape[1]
+    def get(self, shares: np.ndarray) -> np.ndarray:
+        """The digit of each open lane under its row of shares."""
+        sums = shares @ _UP_TO
         part = self.wide // sums[:, -1].astype(np.uint64)
         target = (self.far // part).astype(np.float32)
-        # a broken block may point beyond the last symbol
-        found = np.minimum(np.count_nonzero(sums <= target[:, None], axis=1), size - 1)
-        spot = np.arange(0, counts.size, size) + found
-        count = counts.reshape(-1).take(spot)
-        self.far = self.far - part * (sums.reshape(-1).take(spot) - count).astype(np.uint64)
-        self.wide = part * count.astype(np.uint64)
+        below = np.bitwise_count((sums <= target[:, None]).view(np.uint64))
+        # a broken block may point beyond the last digit
+        found = np.minimum((below[:, 0] + below[:, 1]).astype(np.int64), 15)
+        spot = np.arange(0, shares.size, 16) + found
+        own = shares.reshape(-1).take(spot)
+        self.far = self.far - part * (sums.reshape(-1).take(spot) - own).astype(np.uint64)
+        self.wide = part * own.astype(np.uint64)
         return found
 
     def settle(self) -> None:
         far, wide = self.far, self.wide
         low = np.flatnonzero(wide < _FULL)
         while len(low):
-            out = self.lanes[low]
-            at = self.at[out]
-            far[low] = far[low] << _WORD | self.flat[np.minimum(at, self.end[out])].astype(np.uint64)
-            self.at[out] = at + 1
+            at = self.at[low]
+            far[low] = far[low] << _WORD | self.flat[np.minimum(at, self.end[low])].astype(np.uint64)
+            self.at[low] = at + 1
             more = wide[low] << _WORD
             wide[low] = more
             low = low[more < _FULL]
-        self.above[self.lanes], self.width[self.lanes] = far, wide
-
-
-def _shares(counts: np.ndarray, symbols: np.ndarray, up_to: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sum of the counts before each row's symbol, its own count, and the sum of all."""
-    sums, size = counts @ up_to, counts.shape[1]
-    spot = np.arange(0, counts.size, size) + symbols
-    own = counts.reshape(-1).take(spot)
-    return tuple(x.astype(np.uint64) for x in (sums.reshape(-1).take(spot) - own, own, sums[:, -1]))
+        self.above[: len(far)], self.width[: len(far)] = far, wide
 
 
 def _encode(blocks: list[np.ndarray]) -> list[bytes]:
@@ -209,24 +263,18 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
         if n < lanes:
             model.keep(lanes := n)
         now = ids[step, :n]
-        slots, held, row = model.look()
-        hits = held >> 2 == np.concatenate([now, now])
-        order = np.where(hits[:n], 0, np.where(hits[n:], 1, 2))
-        out.put(model.lane, _shares(model.weights.take(row, 0), order, _UP_TO3))
-        rest = np.flatnonzero(order == 2)
-        if len(rest):
-            own = now[rest]
-            digits = [own >> 12, own >> 8 & 15, own >> 4 & 15, own & 15]
-            highs = [own >> 12, own >> 8, own >> 4]
-            node = np.concatenate([model.nodes(rest, highs[:k]) for k in range(4)])
-            digit = np.concatenate(digits)
-            shares = _shares(model.digits.take(node, 0), digit, _UP_TO)
-            m = len(rest)
-            step_of = lambda k: tuple(x[k * m : k * m + m] for x in shares)
-            out.put(rest, step_of(0), step_of(1))
-            out.put(rest, step_of(2), step_of(3))
-            model.flat[node * 16 + digit] += DIGIT_STEP
-        model.learn(now, hits, slots, held, row, order)
+        above = np.stack([now >> 16 - 4 * k for k in range(4)])
+        rows = np.stack([model.rows(k, above[k]) for k in range(4)])
+        digits = now >> _SHIFTS & 15
+        shares, used = model.mixed(rows, _DIGITS, above, model.look())
+        sums = shares @ _UP_TO
+        spot = used[3] + digits
+        own = shares.reshape(-1).take(spot)
+        before, own, total = (x.astype(np.uint64) for x in (sums.reshape(-1).take(spot) - own, own, sums[..., -1]))
+        for k in (0, 2):
+            out.put(n, *((before[j], own[j], total[j]) for j in (k, k + 1)))
+        model.learn(rows, _STEPS, used, digits)
+        model.step(now)
     return out.close()
 
 
@@ -238,27 +286,21 @@ def _decode(payloads: list[bytes], lengths: np.ndarray) -> list[np.ndarray]:
     for step, n in enumerate(live.tolist()):
         if n < lanes:
             model.keep(lanes := n)
-        slots, held, row = model.look()
-        source.open(model.lane)
-        order = source.get(model.weights.take(row, 0), _UP_TO3)
-        source.settle()
-        expected = (held >> 2).astype(np.int64)
-        now = np.where(order == 0, expected[:n], expected[n:])
-        rest = np.flatnonzero(order == 2)
-        if len(rest):
-            highs: list[np.ndarray] = []
-            for k in range(4):
-                if k % 2 == 0:
-                    source.open(rest)
-                node = model.nodes(rest, highs)
-                digit = source.get(model.digits.take(node, 0), _UP_TO)
-                model.flat[node * 16 + digit] += DIGIT_STEP
-                highs.append(highs[-1] << 4 | digit if highs else digit)
-                if k % 2:
-                    source.settle()
-            now[rest] = highs[-1]
+        now, seen, near = np.zeros(n, np.int64), [], model.look()
+        for k in range(4):
+            if k % 2 == 0:
+                source.open(n)
+            rows = model.rows(k, now)
+            shares, used = model.mixed(rows, k, now, near)
+            digit = source.get(shares)
+            seen.append((rows, used, digit))
+            now = now << 4 | digit
+            if k % 2:
+                source.settle()
+        for k, (rows, used, digit) in enumerate(seen):  # only now, as the encoder sees all four digits at once
+            model.learn(rows, STEPS[k], used, digit)
         ids[step, :n] = now
-        model.learn(now, expected == np.concatenate([now, now]), slots, held, row, order)
+        model.step(now)
     return [ids[:n, k] for k, n in enumerate(lengths)]
 
 

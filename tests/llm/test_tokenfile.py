@@ -65,6 +65,53 @@ def test_repeated_ids_shrink_and_damage_is_found():
             coder.decode([bytes(broken)])
 
 
+def bits(block):
+    return 8 * len(coder.encode([(block, np.empty(0, coder.ENTRY))])[0]) / len(block)
+
+
+def test_each_order_lends_probability(monkeypatch):
+    pick = np.random.default_rng(1)
+    # order 1 knows the next id to a choice of two, order 2 for certain, order 0 to one of 256
+    chain = np.empty(4096, np.int64)
+    chain[:2] = 1, 2
+    for k in range(2, 4096):
+        chain[k] = (chain[k - 1] * 5 + 7 + 100 * (chain[k - 2] & 1)) % 256 if k % 97 else pick.integers(256)
+    mixed = bits(chain)
+    assert mixed < 3
+    for without in (1, 2):
+        start = list(coder.START)
+        start[without] = 0.0  # a weight of zero gains nothing
+        monkeypatch.setattr(coder, "START", tuple(start))
+        assert bits(chain) > mixed
+        monkeypatch.undo()
+    monkeypatch.setattr(coder, "START", (8.0, 0.0, 0.0))
+    assert bits(chain) > 7.5
+
+
+def test_shares_mix_the_orders_by_weight():
+    model = coder.Model(1)
+    for k in [5, 9, 5, 9, 5, 7, 5]:
+        now = np.array([k])
+        model.look()
+        model.step(now)
+    near = model.look()
+    # after 5: 9 twice and 7 once; after 7, 5: nothing
+    assert sorted((int(i[0]), int(c[0])) for i, c in near[:2]) == [(7, 1), (9, 2)]
+    assert [int(c[0]) for _, c in near[2:]] == [0, 0]
+    shares, _ = model.mixed(model.rows(3, np.array([0])), 3, np.array([0]), near)
+    w0, w1, _ = model.weights[3 * (48 + 3) : 3 * (48 + 3) + 3]
+    total = coder.SCALE / (w0 + w1)
+    for digit, seen in ((9, 2), (7, 1), (0, 0)):
+        assert abs(shares[0, digit] - total * (w0 / 16 + w1 * seen / 3)) <= 2
+
+
+@pytest.mark.parametrize("ids", [np.zeros(4096), np.full(4096, 65_534), np.arange(4096) * 16, np.tile([0, 65_534, 0], 1365)])
+def test_extreme_blocks_come_back(ids):
+    block = (ids.astype(np.int64), np.empty(0, coder.ENTRY))
+    ((back, _),) = coder.decode(coder.encode([block]))
+    assert (back == block[0]).all()
+
+
 def test_checksums_join():
     a, b = b"some bytes", b"and some more of them"
     assert tokenfile.appended(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
