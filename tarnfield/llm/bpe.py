@@ -35,8 +35,10 @@ from pyspark.sql import DataFrame, SparkSession
 from tarnfield.llm.common import bound_batches, slices, worker_state
 from tarnfield.sources import read_table
 
-KEPT_UNITS = 400_000
+KEPT_UNITS = 250_000
 KEPT_PAIRS = 300_000
+#: Bytes of text encoded at once, long texts apart; an id stands for about three.
+TEXT_BYTES = 1_000_000
 
 #: Fixed value: the pattern that splits a text into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -75,7 +77,7 @@ class TrieBPE:
         self.word = regex.compile(PATTERN)
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.blank = regex.compile(r"\s")
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by the left token's id above 32 bits, the right one's in them
         self.index: dict[str | tuple[str], int] = {}
         self.flat, self.lengths, self.starts = array("I"), array("I"), array("Q")
         known = self.tokens | {i: content.encode() for content, i in self.special.items()}
@@ -104,12 +106,12 @@ class TrieBPE:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def may_follow(self, a: int, b: int) -> bool:
-        found = self.pairs.get((a, b))
+        found = self.pairs.get(a << 32 | b)
         if found is None:
             if len(self.pairs) > KEPT_PAIRS:
                 self.pairs.clear()
             first, second = self.tokens[a], self.tokens[b]
-            found = self.pairs[a, b] = self.merged(first + second) == [first, second]
+            found = self.pairs[a << 32 | b] = self.merged(first + second) == [first, second]
         return found
 
     def walk(self, words: list[bytes]) -> Iterator[list[int]]:
@@ -130,7 +132,7 @@ class TrieBPE:
                         left = last[start]
                         if left < 0:
                             break
-                        fits = pairs.get((left, token))
+                        fits = pairs.get(left << 32 | token)
                         if fits or (fits is None and self.may_follow(left, token)):
                             break
                 last.append(token)
@@ -244,7 +246,7 @@ def _coder(path: str) -> TrieBPE:
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        yield from slices(whole, whole.schema.get_field_index("text"))
+        yield from slices(whole, whole.schema.get_field_index("text"), TEXT_BYTES)
 
 
 def encoded(documents: DataFrame, path: str) -> DataFrame:
