@@ -44,6 +44,8 @@ FILTER = 1 << 23
 PAIRS = 50_000
 #: Distinct words that a task counts before it gives the counts out.
 HELD = 200_000
+#: Bytes of text whose words a task counts at once, long texts apart.
+COUNTED_BYTES = 1_000_000
 
 # The patterns. A match of an address begins where its run of letters or
 # digits begins, so runs are looked at once.
@@ -178,7 +180,7 @@ def _document_counts(wanted: np.ndarray):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, int] = {}
         for whole in batches:
-            for batch in slices(whole, 0):
+            for batch in slices(whole, 0, COUNTED_BYTES):
                 words = Words(batch.column(0).to_pylist())
                 bucket = words.name & np.uint64(FILTER - 1)
                 pick = (wanted[bucket >> np.uint64(3)] << (bucket & np.uint64(7)).astype(np.uint8) & 0x80).astype(bool)
