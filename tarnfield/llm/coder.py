@@ -50,10 +50,12 @@ NONE = 65_535
 
 _UP_TO = np.triu(np.ones((16, 16), np.float32))  # column d: sum of counts up to digit d
 _ALL = np.ones(16, np.float32)
-_DIGITS = np.arange(4)[:, None]
+_DIGITS = np.arange(4, dtype=np.int32)[:, None]
 _SHIFTS, _STEPS = 12 - 4 * _DIGITS, np.array(STEPS, np.uint16)[:, None]
 _WORD, _REST, _FULL = np.uint64(16), np.uint64(48), np.uint64(1 << 48)
 _FIRST = (0, 1, 17, 273)
+_FIRSTS = np.array(_FIRST)[:, None]
+_MASKS, _AFTER = np.array(SLOTS)[:, None] - 1, np.array([0, 40_503_000_017])[:, None]
 _PAIR, _ID = (1 << 56) - 1, (1 << 28) - 1
 
 
@@ -79,8 +81,10 @@ class Model:
     def __init__(self, lanes: int):
         self.counts = np.ones((lanes * ROWS, 16), np.uint16)
         self.flat = self.counts.reshape(-1)
-        self.contexts = [np.zeros(lanes * n, np.int64) for n in SLOTS]
+        self.contexts = np.zeros(lanes * sum(SLOTS), np.int64)
         self.weights = np.tile(_start(), (lanes, 1)).reshape(-1)
+        self.orders = [self.weights[k:] for k in range(3)]
+        self.bases = np.stack([np.arange(lanes) * SLOTS[0], lanes * SLOTS[0] + np.arange(lanes) * SLOTS[1]])
         self.last = np.full(lanes, NONE, np.int64)
         self.before = self.last
         self.keep(lanes)
@@ -88,70 +92,85 @@ class Model:
     def keep(self, lanes: int) -> None:
         """Go on with the first lanes only."""
         lane = np.arange(lanes)
-        self.row, self.weight = lane * ROWS, lane * 64
-        self.base = [lane * n for n in SLOTS]
+        self.row, self.weight, self.line = lane * ROWS, lane * 64, lane * 16
+        self.base = self.bases[:, :lanes]
         self.last, self.before = self.last[:lanes], self.before[:lanes]
 
-    def look(self) -> list[tuple[np.ndarray, np.ndarray]]:
+    def look(self) -> np.ndarray:
         """The ids that orders 1 and 2 have met after the last ids, two each, and their counts."""
-        one = self.last * 2_654_435_761
-        self.slots, self.tags, self.held, near = [], [], [], []
-        for base, size, table, h in zip(self.base, SLOTS, self.contexts, (one, one + self.before * 40_503_000_017)):
-            slot, tag = base + (h >> 13 & size - 1), h >> 27 & 0x7F
-            held = table.take(slot)
-            held = (held & _PAIR) * (held >> 56 == tag)
-            self.slots.append(slot)
-            self.tags.append(tag)
-            self.held.append(held)
-            near += [(held >> 12 & 0xFFFF, (held & 0xFFF).astype(np.float32)), (held >> 40, (held >> 28 & 0xFFF).astype(np.float32))]
-        return near
+        h = self.last * 2_654_435_761 + self.before * _AFTER
+        self.slots, self.tags = self.base + (h >> 13 & _MASKS), h >> 27 & 0x7F
+        held = self.contexts.take(self.slots)
+        self.held = held = (held & _PAIR) * (held >> 56 == self.tags)
+        near = np.empty((2, 2, 2, len(self.last)), np.int32)  # order, latest or one before, id and count
+        near[:, 0, 0] = held >> 12 & 0xFFFF
+        near[:, 0, 1] = held & 0xFFF
+        near[:, 1, 0] = held >> 40
+        near[:, 1, 1] = held >> 28 & 0xFFF
+        return near.reshape(4, 2, -1)
 
     def rows(self, digit: int, above: np.ndarray) -> np.ndarray:
         """Rows of order 0's counts of a digit, after the digits above it."""
         return self.row + _FIRST[digit] + (above if digit < 3 else above * 40_503 >> 4 & LAST_ROWS - 1)
 
-    def mixed(self, rows: np.ndarray, digit: np.ndarray | int, above: np.ndarray, near: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, tuple]:
-        """Whole shares of the 16 digits, mixed from the three orders, and what ``learn`` needs."""
-        spots, met, shift = [], [], 12 - 4 * digit
-        line = np.arange(0, 16 * rows.size, 16).reshape(rows.shape)
-        for ids, counts in near:
-            top = ids >> shift
-            met.append(counts * (top >> 4 == above))
-            spots.append(line + (top & 15))
-        sums = met[0] + met[1], met[2] + met[3]
-        at = (self.weight + 16 * digit + (np.minimum(sums[1], 3) * 4 + np.minimum(sums[0], 3)).astype(np.int64)) * 3
-        own = [self.weights.take(at + k) for k in range(3)]
+    def parts(self, rows: np.ndarray, digit: np.ndarray | int, above: np.ndarray, near: np.ndarray) -> tuple:
+        """What order 0 gives to the 16 digits, what each id met before gives, the digits up to this of those ids, and the counts and weights used."""
+        ids, times = (near[:, k] if rows.ndim == 1 else near[:, k, None] for k in (0, 1))
+        top = ids >> 12 - 4 * digit
+        met = times.astype(np.float32) * (top >> 4 == above).astype(np.float32)
+        sums = met[::2] + met[1::2]
+        few = np.minimum(sums, 3)
+        at = (self.weight + 16 * digit + (few[1] * 4 + few[0]).astype(np.int64)) * 3
+        own = [w.take(at) for w in self.orders]
         scale = SCALE / (own[0] + own[1] + own[2])
-        counts = self.counts.take(rows, 0).astype(np.float32)
+        seen = self.counts.take(rows, 0)
+        counts = seen.astype(np.float32)
         counts *= (scale * own[0] / (counts @ _ALL))[..., None]
+        np.maximum(sums, 1, out=sums)
+        for k in range(2):
+            met[2 * k : 2 * k + 2] *= scale * own[k + 1] / sums[k]
+        return counts, met, top, (seen, at, *own)
+
+    def mixed(self, rows: np.ndarray, digit: int, above: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """Whole shares of the 16 digits, mixed from the three orders, and the parts they are made from."""
+        used = counts, met, top, _ = self.parts(rows, digit, above, near)
         shares = np.floor(counts)
         shares += 1
-        flat = shares.reshape(-1)
-        for k in range(2):
-            part = scale * own[k + 1] / np.maximum(sums[k], 1)
-            for j in (2 * k, 2 * k + 1):
-                met[j] *= part
-                flat[spots[j]] += np.floor(met[j])
-        return shares, (counts, met, spots, line, at)
-
-    def learn(self, rows: np.ndarray, step: np.ndarray | int, used: tuple, digits: np.ndarray) -> None:
-        """Count the digits, and give weight to each order by its part in their shares."""
-        counts, met, spots, line, at = used
-        spot = line + digits
-        hit = [m * (s == spot) for m, s in zip(met, spots)]
-        gain = [counts.reshape(-1).take(spot), hit[0] + hit[1], hit[2] + hit[3]]
+        np.add.at(shares.reshape(-1), (self.line + (top & 15)).reshape(-1), np.floor(met).reshape(-1))
+        return shares, used
+
+    def spans(self, rows: np.ndarray, above: np.ndarray, now: np.ndarray, near: np.ndarray) -> tuple:
+        """Of the shares of all four digits: those before the digit that comes, its own and all; and what ``learn`` needs."""
+        counts, met, top, (seen, *weights) = self.parts(rows, _DIGITS, above, near)
+        digits = now & 15
+        spot = np.arange(0, 16 * rows.size, 16).reshape(rows.shape) + digits
+        first = counts.reshape(-1).take(spot)
+        np.floor(counts, out=counts)
+        sums = counts @ _UP_TO
+        hit = met * (top == now).astype(np.float32)
+        gain = first, hit[0] + hit[1], hit[2] + hit[3]
+        own = np.floor(first)
+        np.floor(met, out=met)
+        total = sums[..., -1] + met.sum(0) + 16
+        met *= (top < now).astype(np.float32)
+        before = sums.reshape(-1).take(spot) - own + digits.astype(np.float32) + met.sum(0)
+        own += np.floor(hit, out=hit).sum(0) + 1
+        return before, own, total, (rows * 16 + digits, seen.reshape(-1).take(spot), weights, gain)
+
+    def learn(self, spots: np.ndarray, seen: np.ndarray, weights: tuple, gain: tuple) -> None:
+        """Count the four digits, of which each count was ``seen``, and give weight to each order by its part in their shares."""
+        at, *own = weights
         rate = 1 / (gain[0] + gain[1] + gain[2])
-        for k in range(3):
-            self.weights[at + k] += gain[k] * rate
-        self.flat[rows * 16 + digits] += step
+        for w, old, g in zip(self.orders, own, gain):
+            w[at] = old + g * rate
+        self.flat[spots] = seen + _STEPS
 
     def step(self, ids: np.ndarray) -> None:
         """Count the ids after the last ones, and go on to them."""
-        fresh = ids << 12 | 1
-        for slot, tag, held, table in zip(self.slots, self.tags, self.held, self.contexts):
-            second = held >> 28
-            front = np.where(second >> 12 == ids, second + 1, fresh)
-            table[slot] = tag << 56 | np.where(held >> 12 & 0xFFFF == ids, held + 1, front | (held & _ID) << 28)
+        held = self.held
+        second = held >> 28
+        front = np.where(second >> 12 == ids, second + 1, ids << 12 | 1)
+        self.contexts[self.slots] = self.tags << 56 | np.where(held >> 12 & 0xFFFF == ids, held + 1, front | (held & _ID) << 28)
         self.before, self.last = self.last, ids
 
 
@@ -174,14 +193,14 @@ class Writer:
     def put(self, lanes: int, *steps: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
         """One or two steps of the first lanes, each the shares before the digit, its own and all."""
         low, width = self.low[:lanes], self.width[:lanes]
-        for before, count, total in steps:
+        start = low.copy()
+        for before, count, total in steps:  # all of them add less than the width
             part = width // total
-            start = low
-            low = start + part * before
+            low += part * before
             width = part * count
-            carry = np.flatnonzero(low < start)
-            if len(carry):
-                self.flat[self.at[carry] - 1] += np.uint32(1)
+        carry = np.flatnonzero(low < start)
+        if len(carry):
+            self.flat[self.at[carry] - 1] += np.uint32(1)
         full = np.flatnonzero(width < _FULL)
         while len(full):
             at = self.at[full]
@@ -191,7 +210,7 @@ class Writer:
             wide = width[full] << _WORD
             width[full] = wide
             full = full[wide < _FULL]
-        self.low[:lanes], self.width[:lanes] = low, width
+        self.width[:lanes] = width
 
     def close(self) -> list[bytes]:
         out = []
@@ -263,17 +282,15 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
         if n < lanes:
             model.keep(lanes := n)
         now = ids[step, :n]
-        above = np.stack([now >> 16 - 4 * k for k in range(4)])
-        rows = np.stack([model.rows(k, above[k]) for k in range(4)])
-        digits = now >> _SHIFTS & 15
-        shares, used = model.mixed(rows, _DIGITS, above, model.look())
-        sums = shares @ _UP_TO
-        spot = used[3] + digits
-        own = shares.reshape(-1).take(spot)
-        before, own, total = (x.astype(np.uint64) for x in (sums.reshape(-1).take(spot) - own, own, sums[..., -1]))
-        for k in (0, 2):
-            out.put(n, *((before[j], own[j], total[j]) for j in (k, k + 1)))
-        model.learn(rows, _STEPS, used, digits)
+        tops = now.astype(np.int32) >> _SHIFTS
+        above = tops >> 4
+        rows = model.row + _FIRSTS + above
+        rows[3] = model.rows(3, above[3])
+        before, own, total, used = model.spans(rows, above, tops, model.look())
+        steps = list(zip(*(x.astype(np.uint64) for x in (before, own, total))))
+        out.put(n, *steps[:2])
+        out.put(n, *steps[2:])
+        model.learn(*used)
         model.step(now)
     return out.close()
 
@@ -286,21 +303,25 @@ def _decode(payloads: list[bytes], lengths: np.ndarray) -> list[np.ndarray]:
     for step, n in enumerate(live.tolist()):
         if n < lanes:
             model.keep(lanes := n)
-        now, seen, near = np.zeros(n, np.int64), [], model.look()
+        now, near = np.zeros(n, np.int32), model.look()
+        spots, at, seen = np.empty((4, n), np.int64), np.empty((4, n), np.int64), np.empty((4, n), np.uint16)
+        own, gain = np.empty((3, 4, n), np.float32), np.empty((3, 4, n), np.float32)
         for k in range(4):
             if k % 2 == 0:
                 source.open(n)
             rows = model.rows(k, now)
-            shares, used = model.mixed(rows, k, now, near)
+            shares, (counts, met, top, (held, at[k], own[0, k], own[1, k], own[2, k])) = model.mixed(rows, k, now, near)
             digit = source.get(shares)
-            seen.append((rows, used, digit))
-            now = now << 4 | digit
+            now = now << 4 | digit.astype(np.int32)
+            spot = model.line + digit
+            spots[k], seen[k], gain[0, k] = rows * 16 + digit, held.reshape(-1).take(spot), counts.reshape(-1).take(spot)
+            hit = met * (top == now).astype(np.float32)
+            np.add(hit[::2], hit[1::2], out=gain[1:, k])
             if k % 2:
                 source.settle()
-        for k, (rows, used, digit) in enumerate(seen):  # only now, as the encoder sees all four digits at once
-            model.learn(rows, STEPS[k], used, digit)
+        model.learn(spots, seen, (at, *own), gain)  # only now, as the encoder sees all four digits at once
         ids[step, :n] = now
-        model.step(now)
+        model.step(ids[step, :n])
     return [ids[:n, k] for k, n in enumerate(lengths)]
 
 

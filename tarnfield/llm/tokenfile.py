@@ -9,7 +9,8 @@ document, its number of ids, and the bytes whose format ``coder`` describes.
 
 The tokenizer drops white space, and no word reaches over a space; so texts are cut
 at spaces and line feeds, units are looked up, and the library encodes those not
-met before, whole. A Python worker keeps the first KEPT_UNITS of them.
+met before, whole. Units that are plain words go to it as one text, whose ids are
+parted where words end. A Python worker keeps the first KEPT_UNITS units.
 
 Reading needs no order of blocks: where a document begins follows from its block's
 place and the sizes of the parts before, and the checksums of a document's pieces
@@ -22,13 +23,14 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
-from array import array
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,8 +42,14 @@ from tarnfield.llm.common import shared_dir, slices, stored, worker_state
 from tarnfield.sources import read_table
 
 KEPT_UNITS = 250_000
+#: Letters that no normalization splits, joins or turns into marks, and ASCII's marks: the tokenizer makes a
+#: word of a run of either. Units of any other kind are as right, but cost more.
+LETTERS, MARKS = "[A-Za-zÀ-ÖØ-öø-įı-ſЀ-ҁ]", r"[!-/:-@\[-`{-~]"
 END_ID = 2
 
+#: Pieces that a task hands on at once; a block has up to BLOCK_IDS more.
+PIECES = 20_000
+
 BLOCKS = "part int, block bigint, first_doc bigint, n_ids bigint, data binary"
 
 
@@ -49,39 +57,56 @@ class UnitEncoder:
     """Ids of texts by the tokenizers library, unit by unit."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.index: dict[str, int] = {"": 0}
-        self.flat, self.lengths = array("I"), array("I", [0])
-
-    def _learn(self, units: list[str]) -> None:
-        for unit, found in zip(units, self.library.encode_batch(units, add_special_tokens=False)):
-            ids = found.ids
-            self.index[unit] = len(self.lengths)
-            self.flat.extend(ids)
-            self.lengths.append(len(ids))
-
-    def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        vocabulary = self.library.get_vocab()
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids that end a word
+        self.last[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
+        self.units = pa.array([""], pa.large_string())
+        self.flat, self.lengths = np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+    def _each(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units in a row, and how many each has."""
+        found = [e.ids for e in self.library.encode_batch_fast(units.to_pylist(), add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
+
+    def _plain(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for units of LETTERS and at most one run of MARKS after them, as one text."""
+        (found,) = self.library.encode_batch_fast([" ".join(units.to_pylist())], add_special_tokens=False)
+        ids = np.array(found.ids, np.uint32)
+        words = 1 + pc.match_substring_regex(units, f"{MARKS}$").to_numpy(zero_copy_only=False)
+        stops = np.flatnonzero(self.last[ids]) + 1
+        if len(stops) != words.sum():  # a vocabulary that does not mark the ends of words
+            return self._each(units)
+        return ids, np.diff(stops[np.cumsum(words) - 1], prepend=0)
+
+    def _learned(self, units: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Units in another order, with their ids and how many each has."""
+        plain = pc.match_substring_regex(units, f"^{LETTERS}+{MARKS}*$")
+        both = units.filter(plain), units.filter(pc.invert(plain))
+        (ids, lengths), (more, others) = self._plain(both[0]), self._each(both[1])
+        return pa.concat_arrays(both), np.concatenate([ids, more]), np.concatenate([lengths, others])
+
+    def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each with ``end`` appended, and the bounds of each text's."""
-        kept, kept_ids = len(self.index), len(self.flat)
-        units, counts = [], [0]
-        for text in texts:
-            if text:
-                units += text.replace("\n", " ").split(" ")
-            counts.append(len(units))
-        codes = np.fromiter(map(self.index.get, units, repeat(-1)), np.int64, len(units))
-        if len(codes) and codes.min() < 0:
-            self._learn(list(dict.fromkeys(units[k] for k in np.flatnonzero(codes < 0))))
-            codes = np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
-        lengths = np.array(self.lengths, np.int64)
+        split = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
+        counts = np.cumsum(np.append(0, pc.list_value_length(split).fill_null(0).to_numpy(zero_copy_only=False)))
+        found = split.flatten().dictionary_encode()
+        units, flat, lengths = self.units, self.flat, self.lengths
+        codes = pc.index_in(found.dictionary, units)
+        if codes.null_count:
+            new, ids, sizes = self._learned(found.dictionary.filter(codes.is_null()))
+            units, flat, lengths = pa.concat_arrays([units, new]), np.concatenate([flat, ids]), np.concatenate([lengths, sizes])
+            codes = pc.coalesce(codes, pc.add(pc.index_in(found.dictionary, new), len(self.units)))
+            if len(units) <= KEPT_UNITS:
+                self.units, self.flat, self.lengths = units, flat, lengths
+        codes = codes.to_numpy(zero_copy_only=False)[found.indices.to_numpy(zero_copy_only=False)]
         own = lengths[codes]
-        ids = np.array(self.flat, np.int64)[ragged((np.cumsum(lengths) - lengths)[codes], own)]
+        ids = flat[ragged((np.cumsum(lengths) - lengths)[codes], own)]
         bounds = np.concatenate([[0], np.cumsum(own)])[counts]
-        if len(self.index) > KEPT_UNITS:
-            while len(self.index) > kept:
-                self.index.popitem()
-            del self.flat[kept_ids:], self.lengths[kept:]
         if end is not None:
             ids = np.insert(ids, bounds[1:], end)
             bounds = bounds + np.arange(len(bounds))
@@ -106,22 +131,23 @@ def written(documents: DataFrame, path: str, spark: SparkSession, end: int = END
 
         def flush() -> pa.RecordBatch:
             nonlocal block
-            data = coder.encode([(i, e) for _, i, e in ready])
+            some = ready[: coder.LANES]
+            del ready[: coder.LANES]
+            data = coder.encode([(i, e) for _, i, e in some])
             columns = [
-                pa.array([part] * len(ready), pa.int32()),
-                pa.array(range(block, block + len(ready)), pa.int64()),
-                pa.array([f for f, _, _ in ready], pa.int64()),
-                pa.array([len(i) for _, i, _ in ready], pa.int64()),
+                pa.array([part] * len(some), pa.int32()),
+                pa.array(range(block, block + len(some)), pa.int64()),
+                pa.array([f for f, _, _ in some], pa.int64()),
+                pa.array([len(i) for _, i, _ in some], pa.int64()),
                 pa.array(data, pa.binary()),
             ]
-            block += len(ready)
-            ready.clear()
+            block += len(some)
             return pa.RecordBatch.from_arrays(columns, ["part", "block", "first_doc", "n_ids", "data"])
 
         for whole in batches:
             for batch in slices(whole, 1):
                 names = batch.column(0).to_pylist()
-                flat, bounds = units.encode(batch.column(1).to_pylist(), end)
+                flat, bounds = units.encode(batch.column(1), end)
                 for name, a, b in zip(names, bounds[:-1].tolist(), bounds[1:].tolist()):
                     flags = coder.STARTS | (coder.NO_ID if name is None else 0)
                     while True:
@@ -136,7 +162,7 @@ def written(documents: DataFrame, path: str, spark: SparkSession, end: int = END
                         if a == b:
                             break
                     doc += 1
-                if len(ready) >= coder.LANES:
+                while len(ready) >= coder.LANES:
                     yield flush()
         if ids:
             doc -= 1
@@ -150,23 +176,44 @@ def written(documents: DataFrame, path: str, spark: SparkSession, end: int = END
     return stored(ordered.mapInArrow(task, BLOCKS), spark)
 
 
+def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same blocks by LANES, the last ones apart, as fewer cost the coder more each."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= coder.LANES:
+            some = pa.concat_batches(held)
+            full = some.num_rows - some.num_rows % coder.LANES
+            for a in range(0, full, coder.LANES):
+                yield some.slice(a, coder.LANES)
+            held = [some.slice(full)]
+    if any(b.num_rows for b in held):
+        yield pa.concat_batches(held)
+
+
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For every document entry of every block its place, length and checksum."""
-    for batch in batches:
-        for a in range(0, batch.num_rows, coder.LANES):
-            some = batch.slice(a, coder.LANES)
-            part, block, first = (some.column(c).to_pylist() for c in ("part", "block", "first_doc"))
-            out: list[tuple] = []
-            for k, (ids, docs) in enumerate(coder.decode(some.column("data").to_pylist())):
-                data = memoryview(ids.astype("<u4").tobytes())
-                ends = np.cumsum(docs["n"].astype(np.int64)).tolist()
-                for j, (name, n, flags) in enumerate(docs.tolist()):
-                    start = ends[j] - n
-                    crc = zlib.crc32(data[4 * start : 4 * ends[j]])
-                    out.append((part[k], first[k] + j, block[k], None if flags & coder.NO_ID else name, block[k] * coder.BLOCK_IDS + start, n, crc))
-            names = ["part", "doc", "block", "doc_id", "at", "n", "crc"]
-            columns = zip(*out) if out else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.int64()) for k, c in enumerate(columns)], names)
+    names = ["part", "doc", "block", "doc_id", "at", "n", "crc"]
+    out: list[tuple] = []
+
+    def close() -> pa.RecordBatch:
+        columns = [pa.array(c, pa.int32() if k == 0 else pa.int64()) for k, c in enumerate(zip(*out))]
+        out.clear()
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    for some in _filled(batches):
+        part, block, first = (some.column(c).to_pylist() for c in ("part", "block", "first_doc"))
+        for k, (ids, docs) in enumerate(coder.decode(some.column("data").to_pylist())):
+            data = memoryview(ids.astype("<u4").tobytes())
+            ends = np.cumsum(docs["n"].astype(np.int64)).tolist()
+            for j, (name, n, flags) in enumerate(docs.tolist()):
+                start = ends[j] - n
+                crc = zlib.crc32(data[4 * start : 4 * ends[j]])
+                out.append((part[k], first[k] + j, block[k], None if flags & coder.NO_ID else name, block[k] * coder.BLOCK_IDS + start, n, crc))
+            if len(out) >= PIECES:
+                yield close()
+        if out:
+            yield close()
 
 
 def appended(first: int, second: int, size: int) -> int:

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -115,3 +116,73 @@ def test_extreme_blocks_come_back(ids):
 def test_checksums_join():
     a, b = b"some bytes", b"and some more of them"
     assert tokenfile.appended(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
+class Counting:
+    """The library, with the number of texts it was given."""
+
+    def __init__(self, library):
+        self.library, self.texts = library, 0
+
+    def encode_batch_fast(self, texts, **how):
+        self.texts += len(texts)
+        return self.library.encode_batch_fast(texts, **how)
+
+
+def test_new_words_go_to_the_library_as_one_text():
+    units = tokenfile.UnitEncoder(PATH)
+    units.library = counting = Counting(units.library)
+    texts = [" ".join(f"{a}{b}x{c}" for a in "Abcdé" for b in "efgß" for c in ("", ",", "!?'")), None, "abc\ndef "]
+    ids, bounds = units.encode(pa.array(texts), 2)
+    library = Tokenizer.from_file(PATH)
+    for k, text in enumerate(texts):
+        assert ids[bounds[k] : bounds[k + 1]].tolist() == library.encode(text or "", add_special_tokens=False).ids + [2]
+    assert counting.texts == 1
+    units.encode(pa.array(texts), 2)
+    assert counting.texts <= 2  # nothing new
+
+
+def test_units_of_every_kind_match_the_library():
+    pick = random.Random(3)
+    letters = [chr(k) for k in range(0x21, 0x530) if not chr(k).isspace()] + ["<|endoftext|>", "\u0301", "\ufb01", "\u1e9e", "'s", "漢"]
+    words = [x for a in letters for x in (a, "a" + a, a + "a", a + "!", "Q" + a + a + ".")]
+    words += ["".join(pick.choices(letters, k=pick.randint(1, 6))) for _ in range(3000)]
+    units, library = tokenfile.UnitEncoder(PATH), Tokenizer.from_file(PATH)
+    ids, bounds = units.encode(pa.array(words))
+    for k, found in enumerate(library.encode_batch(words, add_special_tokens=False)):
+        assert ids[bounds[k] : bounds[k + 1]].tolist() == found.ids, words[k]
+
+
+def test_units_beyond_the_kept_ones(monkeypatch):
+    monkeypatch.setattr(tokenfile, "KEPT_UNITS", 5)
+    units, library = tokenfile.UnitEncoder(PATH), Tokenizer.from_file(PATH)
+    for text in ["one two", "three four five six", "six 7 one", ""]:
+        assert units.encode(pa.array([text]))[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(units.units) <= 5
+
+
+def test_encoder_takes_the_shares_that_the_decoder_sees():
+    pick, lanes = np.random.default_rng(4), 7
+    model = coder.Model(lanes)
+    for _ in range(300):
+        now = pick.zipf(1.5, lanes) % 65_535
+        near, tops = model.look(), now.astype(np.int32) >> coder._SHIFTS
+        rows = np.stack([model.rows(k, tops[k] >> 4) for k in range(4)])
+        shares = [model.mixed(rows[k], k, tops[k] >> 4, near)[0] for k in range(4)]
+        before, own, total, used = model.spans(rows, tops >> 4, tops, near)
+        for k, lane in np.ndindex(4, lanes):
+            digit = tops[k, lane] & 15
+            assert own[k, lane] == shares[k][lane, digit]
+            assert before[k, lane] == shares[k][lane, :digit].sum() and total[k, lane] == shares[k][lane].sum()
+        model.learn(*used)
+        model.step(now)
+
+
+def test_lanes_are_filled_across_batches(monkeypatch):
+    monkeypatch.setattr(coder, "LANES", 8)
+    whole = pa.RecordBatch.from_arrays([pa.array(range(37))], ["block"])
+    cuts = [0, 3, 3, 10, 11, 30, 37]
+    got = list(tokenfile._filled(whole.slice(a, b - a) for a, b in zip(cuts, cuts[1:])))
+    assert [b.num_rows for b in got] == [8, 8, 8, 8, 5]
+    assert [x for b in got for x in b.column(0).to_pylist()] == list(range(37))
+    assert list(tokenfile._filled(iter([whole.slice(0, 0)]))) == []
